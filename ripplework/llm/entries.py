@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplework.llm import packing, token_files
+from ripplework.llm import decontamination, packing, token_files
 from ripplework.llm.common import scratch, table
 
 
@@ -24,5 +24,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_token_files)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op4_token_files, op9_decontamination)}
 ORACLES: dict[str, str] = {}

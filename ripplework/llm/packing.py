@@ -93,7 +93,7 @@ class Packer:
 
     def __init__(self, length: int, item: int, windows: int):
         self.length, self.item = length, item
-        self.room = max(1, length // 512)  # ids that a window may stay short of the length, so that differencing can balance
+        self.room = max(1, length // 200)  # ids that a window may stay short of the length, so that differencing can balance
         self.most = (length - self.room) * windows
         self.items: list[tuple] = []  # document, start, length
         self.tokens = self.sequences = 0
