@@ -7,7 +7,7 @@ executor's partition is simply packed again. Within a block:
    document, is cut into items of at most `item` ids (small items balance well).
 2. The last block of a partition first moves its odd remainder into sequences of power-of-two lengths,
    which need no padding, so that the rest nearly fills whole windows.
-3. The items go into ceil(total / length) windows. Every item starts as a partial partition of its own.
+3. The items go into as few windows as leave a little room in each. Every item starts as a partial partition of its own.
    The two partial partitions whose sums differ most are merged, the largest sums of one with the
    smallest of the other, until one is left, whose sums are nearly equal. If a window then exceeds
    `length`, the window count rises by one and the block is divided again.
@@ -78,9 +78,9 @@ def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def fitted(sizes: np.ndarray, length: int) -> list[list[int]]:
-    """Windows of at most `length`; as few as differencing can fill."""
-    k = max(1, -(-int(sizes.sum()) // length))
+def fitted(sizes: np.ndarray, length: int, room: int) -> list[list[int]]:
+    """Windows of at most `length`, `room` below it on average at first; one more whenever a window exceeds it."""
+    k = max(1, -(-int(sizes.sum()) // (length - room)))
     while True:
         windows = differencing(sizes, k)
         if all(sizes[w].sum() <= length for w in windows):
@@ -121,7 +121,7 @@ class Packer:
             self.items, self.tokens = over, sum(p[2] for p in over)
 
     def _block(self, items: list[tuple]) -> Iterator[tuple]:
-        for window in fitted(np.array([p[2] for p in items], np.int64), self.length):
+        for window in fitted(np.array([p[2] for p in items], np.int64), self.length, self.room):
             # pieces of a document that meet in a window, end to start, are one piece again
             pieces: list[tuple] = []
             for doc, start, size in (items[i] for i in window):
