@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ripplework.llm import decontamination, packing, token_files
+from ripplework.llm import chat, decontamination, packing, pii, quality_net, quality_rules, token_files
 from ripplework.llm.common import scratch, table
 
 
@@ -14,19 +15,47 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality_net.Net | None:
+    return quality_net.fit(docs, labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label")))
+
+
+def op1_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_net.score(docs.select("doc_id", "text"), quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=2))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.quality_rules(table(spark, sf_dir, "documents")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token_files")
     token_files.write(table(spark, sf_dir, "documents"), path, vocabulary(), end_id=1)
     return token_files.digest(token_files.read(spark, path))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(chat.PROBE, "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_conversations(rows.unionByName(probe)))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_token_files, op9_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_net, op2_packing, op3_quality_rules, op4_token_files, op5_pii, op8_chat, op9_decontamination)}
+ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE}
