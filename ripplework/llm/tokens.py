@@ -126,11 +126,20 @@ class BatchEncoder:
         base, tail = pc.dictionary_encode(base), pc.dictionary_encode(tail)
         rows = self._rows(base.dictionary.to_pylist() + tail.dictionary.to_pylist())
         rows = np.column_stack([rows[np.asarray(base.indices)], rows[len(base.dictionary) + np.asarray(tail.indices)]])
-        rows = rows[np.asarray(coded.indices)].reshape(-1)
-        sizes = self.sizes[rows]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[2 * (bounds - bounds[0])]
+        named, of_name = gathered(self.flat, self.starts[rows.reshape(-1)], self.sizes[rows.reshape(-1)])
+        of_name = of_name[::2]  # a name's two rows are next to each other
+        names = np.asarray(coded.indices)
+        ids, of_word = gathered(named, of_name[names], np.diff(of_name)[names])
+        return ids, of_word[bounds - bounds[0]]
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of flat one after another, and where each begins and ends."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    small = np.int32 if bounds[-1] + len(flat) < 1 << 31 else np.int64
+    at = np.repeat((starts - bounds[:-1]).astype(small), sizes)
+    at += np.arange(bounds[-1], dtype=small)
+    return flat[at], bounds
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
