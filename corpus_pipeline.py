@@ -1,15 +1,60 @@
-"""Corpus preparation from end to end."""
+"""Corpus preparation from end to end: each stage works on what the one before has kept, written as Parquet and read again.
+
+Documents: doc_id, text, lang, source, n_chars. A stage that shortens texts counts n_chars anew. Rows that share
+a doc_id count as one document for near-duplicates: of them the first that is met stays. An empty table passes
+through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ripplework.llm import common, decontamination, entries, line_dedup, near_dedup, packing, quality_net
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on the labelled ones among them, doesn't reject."""
+    net = entries.quality_model(docs, common.table(spark, sf_dir, "labels"))
+    return quality_net.score(docs, net).where("score >= 0.5").drop("score")
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier one has; those of which no word is left go."""
+    short = line_dedup.dedup_lines(docs)
+    left = short.where((F.col("words_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return left.withColumn("n_chars", F.when(F.col("words_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop("lines_removed", "words_removed")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 ids."""
+    return packing.digest(packing.pack_documents(docs, entries.vocabulary(), end_id=2))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: Training, alignment and differencing aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.staged(stage(spark, docs, sf_dir), name)
     return docs

@@ -135,6 +135,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, l
     return common.texts(docs).mapInArrow(_scan(benchmark_parts(benchmark, limit), width), FOUND)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = 1 << 19) -> DataFrame:
+    """docs (text and any others) without those that have a hit word."""
+    common.bound_batches(docs.sparkSession)
+    parts, at = benchmark_parts(benchmark, limit), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = automaton(parts[0], width) if len(parts) == 1 else None
+        for got in batches:
+            texts = [Scanned(text or "") for text in got.column(at).to_pylist()]
+            for part in parts:
+                if found := only or automaton(part, width):
+                    for text in texts:
+                        text.scan(found)
+            yield got.filter(pa.array([not text.items for text in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
