@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplework.llm import chat, decontamination, line_dedup, near_dedup, packing, pii, quality_net, quality_rules, token_files
+from ripplework.llm import chat, decontamination, html_text, line_dedup, near_dedup, packing, pii, quality_net, quality_rules, token_files
 from ripplework.llm.common import scratch, table
 
 
@@ -47,6 +47,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,5 +69,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_net, op2_packing, op3_quality_rules, op4_token_files, op5_pii, op7_near_dedup, op8_chat, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_net, op2_packing, op3_quality_rules, op4_token_files, op5_pii, op6_html_text, op7_near_dedup, op8_chat, op9_decontamination, op10_line_dedup)}
 ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE}
