@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ripplework.plans import q_segments, q_sequence, q_statistics  # noqa: F401  they register
+from ripplework.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
