@@ -43,7 +43,7 @@ from ripplework.llm import common
 FIRST = -(1 << 63)
 BLANK = b" \t\n\x0b\x0c\r"
 #: Texts and words of a piece of a bucket that is held at once.
-PIECE_TEXTS, PIECE_WORDS = 256, 400_000
+PIECE_TEXTS, PIECE_WORDS = 2048, 1_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
