@@ -91,7 +91,10 @@ def entropy(df: DataFrame, by: list[str], x: str) -> DataFrame:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    return F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))
+    """Pearson's r; 0 where either is constant."""
+    both = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))
+    a, b = x * both, y * both
+    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -82,9 +82,9 @@ def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.table(spark, sf_dir, "pages").select("page_id", text.safe_filename(F.col("url")).alias("safe"), text.basename(F.col("url")).alias("base"))
 
 
-@query("SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN concat(CAST(floor(s / 60) AS BIGINT), 'm ', printf('%.1fs', s % 60)) ELSE concat(CAST(floor(s / 3600) AS BIGINT), 'h ', CAST(floor((s % 3600) / 60) AS BIGINT), 'm ', printf('%.1fs', s % 60)) END AS duration, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size FROM (SELECT o_orderkey, floor(o_totalprice) / 10 AS s, CAST(o_orderkey * 1001 AS DOUBLE) AS b FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN concat(CAST(floor(s / 60) AS BIGINT), 'm ', printf('%.1fs', s % 60)) ELSE concat(CAST(floor(s / 3600) AS BIGINT), 'h ', CAST(floor((s % 3600) / 60) AS BIGINT), 'm ', printf('%.1fs', s % 60)) END AS duration, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size FROM (SELECT o_orderkey, floor(o_totalprice) / 10 AS s, CAST(o_orderkey * 1000 + 1 AS DOUBLE) AS b FROM orders)")
 def format_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.table(spark, sf_dir, "orders").select("o_orderkey", text.format_duration(F.floor("o_totalprice") / 10).alias("duration"), text.format_size((F.col("o_orderkey") * 1001).cast("double")).alias("size"))
+    return signals.table(spark, sf_dir, "orders").select("o_orderkey", text.format_duration(F.floor("o_totalprice") / 10).alias("duration"), text.format_size((F.col("o_orderkey") * 1000 + 1).cast("double")).alias("size"))
 
 
 @query("SELECT event_id, concat(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 'Z') AS iso FROM events")
