@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -21,4 +26,24 @@ def get_session(app: str = "ripplework", master: str | None = None, **conf: str)
     if master:
         builder = builder.master(master)
     settings = DEFAULTS | {key.replace("__", "."): value for key, value in conf.items()}
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    ship(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package where they couldn't otherwise: neither installed, nor on PYTHONPATH, nor in the working directory."""
+    home = Path(__file__).resolve().parent.parent
+    known = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    app = spark.sparkContext.applicationId
+    if home in known or "site-packages" in home.parts or app in _SHIPPED:
+        return
+    file = Path(tempfile.mkdtemp(prefix="ripplework-")) / "ripplework.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted((home / "ripplework").rglob("*.py")):
+            z.write(p, p.relative_to(home))
+    spark.sparkContext.addPyFile(str(file))
+    _SHIPPED.add(app)
