@@ -8,7 +8,8 @@ bytes that a chunk has, combine into one probability for the whole document.
 Filters are applied by table: the answer of a filter to a byte at each of its places is computed once for all
 256 bytes, so that a position costs WIDTH table rows instead of a matrix product.
 
-Training takes a bounded sample: at most `per_class` labelled documents of each class, chosen by hash, and at
+Training weighs both classes the same; the share of good ones among all usable labels is then added to the
+odds. It takes a bounded sample: at most `per_class` labelled documents of each class, chosen by hash, and at
 most `chunks` chunks of each, spread evenly over the whole text. Scoring covers every byte of every text.
 
 Null and empty texts are scored as a chunk without bytes. A label or doc_id that is null is not trained on;
@@ -164,7 +165,7 @@ def _cut(most: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, chunks: int = 8, epochs: int = 10, seed: int = 7) -> Net | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, chunks: int = 8, epochs: int = 10, seed: int = 7) -> Net | None:
     """A network that tells labels (doc_id, label 0 or 1) of docs (doc_id, text) apart; None if a class is missing.
 
     Only the chosen labels, 2 * per_class rows, are broadcast; the driver gets 2 * per_class * chunks chunks at most.
@@ -186,7 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, chunks: int =
         data[i, : len(piece)] = np.frombuffer(piece, np.uint8)
     order = sorted(range(len(pieces)), key=lambda i: (int(got.column("doc_id")[i].as_py()), pieces[i]))  # the same whatever the partitions
     _, doc = np.unique(np.asarray(got.column("doc_id")), return_inverse=True)
-    return train(data[order], np.asarray(got.column("filled"))[order], label[order].astype(np.float32), doc[order], epochs, seed)
+    net = train(data[order], np.asarray(got.column("filled"))[order], label[order].astype(np.float32), doc[order], epochs, seed)
+    # both classes weighed the same in training: among all labels one is the likelier
+    count = {r.label: r["count"] for r in labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("label").count().collect()}
+    net.out_bias += np.float32(np.clip(np.log(count[1] / count[0]), -4, 4))
+    return net
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:
