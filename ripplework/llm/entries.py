@@ -70,4 +70,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_net, op2_packing, op3_quality_rules, op4_token_files, op5_pii, op6_html_text, op7_near_dedup, op8_chat, op9_decontamination, op10_line_dedup)}
-ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE, "op9_decontamination": decontamination.ORACLE}
