@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -47,3 +48,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(home))
     spark.sparkContext.addPyFile(str(file))
     _SHIPPED.add(app)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='ripplework-')}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

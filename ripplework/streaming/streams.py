@@ -16,10 +16,13 @@ from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, path: str, schema: StructType | str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of the Parquet files of a folder; ts becomes a timestamp. Batches close by files (and by the writer's trigger)."""
+    """A stream of the Parquet files of a folder, or of a single one; ts becomes a timestamp. Batches close by files (and by the writer's trigger)."""
     source = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile():  # a stream reads folders
+        source, path = source.option("pathGlobFilter", place.getName()), place.getParent().toString()
     return source.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -91,3 +94,12 @@ def upsert(stream: DataFrame, path: str, checkpoint: str) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def snapshot(aggregated: DataFrame, path: str, checkpoint: str) -> None:
+    """The whole result of an aggregation after each micro-batch, in place of the one before: for results that late rows may still change."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    aggregated.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
