@@ -81,8 +81,11 @@ def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, every: int =
     bits = int(ends[-1]) if len(ends) else 0
     at = ends - size
     shifted = codes[ids] << (64 - (at & 31) - size).astype(np.uint64)  # from bit at % 32 of two words of 32 bits
-    word, n = at >> 5, bits // 32 + 2
-    out = np.bincount(word, shifted >> np.uint64(32), n) + np.bincount(word + 1, shifted & np.uint64(0xFFFFFFFF), n)  # bits don't overlap: sums are exact
+    word, out = at >> 5, np.zeros(bits // 32 + 2, np.uint64)
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    if len(starts):  # bits don't overlap: a word is the sum of the codes that begin in it and of the rest of the last one before
+        out[word[starts]] = np.add.reduceat(shifted >> np.uint64(32), starts)
+        out[word[starts] + 1] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), starts)
     return out.astype(">u4").tobytes()[: -(-bits // 8)], bits, at[::every]
 
 
@@ -100,8 +103,10 @@ class Decoder:
         self.ids, self.sizes = np.pad(self.ids, (0, gap)), np.pad(self.sizes, (0, gap), constant_values=1)
 
     def __call__(self, payload: bytes, n: int, checkpoints: np.ndarray, every: int = EVERY) -> np.ndarray:
-        data = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint64)
-        wide = sum(data[i : len(data) - 7 + i] << np.uint64(56 - 8 * i) for i in range(8)) if len(data) > 7 else data
+        data = payload + b"\0" * 16
+        wide = np.empty(len(payload) + 8, np.uint64)  # the 64 bits from each byte on
+        for k in range(8):
+            wide[k::8] = np.frombuffer(data, ">u8", len(wide[k::8]), k)
         at, out = np.array(checkpoints, np.int64), np.zeros((len(checkpoints), every), np.uint32)
         last = len(wide) - 1
         for i in range(every):
@@ -111,16 +116,27 @@ class Decoder:
         return out.reshape(-1)[:n]  # a stretch's ids beyond the end are cut off
 
 
+TOKENS = "doc_id long, width int, ids binary, counts array<struct<id:long,n:long>>"
+
+
 def _tokenise(tokenizer: str, end_id: int):
+    """A row for each document, and one for each task with the counts of its ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BatchEncoder(tokenizer)
+        encoder, total = BatchEncoder(tokenizer), np.zeros(1, np.int64)
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))]
+        batch = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "width", "ids", "counts"])
         for got in batches:
             ids, bounds = with_end(*encoder(got.column(1)), end_id)
+            own = np.bincount(ids, minlength=len(total))
+            own[: len(total)] += total
+            total = own
             wide = np.dtype("<u4") if not len(ids) or ids.max() > 0xFFFF else np.dtype("<u2")
-            raw = ids.astype(wide).tobytes()
-            cut = (bounds * wide.itemsize).tolist()
-            rows = pa.array([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([got.column(0), pa.array([wide.itemsize] * len(rows), pa.int32()), rows], ["doc_id", "width", "ids"])
+            raw, cut = ids.astype(wide).tobytes(), (bounds * wide.itemsize).tolist()
+            n = got.num_rows
+            yield batch(got.column(0), [wide.itemsize] * n, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], [None] * n)
+        seen = np.flatnonzero(total)
+        yield batch([None], [None], [None], [[{"id": int(i), "n": int(total[i])} for i in seen]])
 
     return run
 
@@ -129,16 +145,6 @@ def _ids(got: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, f"<u{w}") for w, x in zip(got.column("width").to_pylist(), got.column("ids").to_pylist(), strict=True)]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for got in batches:
-        own = np.bincount(np.concatenate([x.astype(np.int64) for x in _ids(got)])) if got.num_rows else total
-        total = np.pad(total, (0, max(0, len(own) - len(total))))
-        total[: len(own)] += own
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
-
-
 def _write(lengths: np.ndarray, every: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, shard = canonical(lengths), TaskContext.get().partitionId()
@@ -190,8 +196,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, limit: in
     """Encode docs (doc_id, text) into the dataset at path, in ascending order of doc_id. limit: bits of a code at most."""
     spark = docs.sparkSession
     common.bound_batches(spark)
-    tokens = common.staged(common.texts(docs).mapInArrow(_tokenise(tokenizer, end_id), "doc_id long, width int, ids binary"), "tokens")
-    counted = tokens.mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
+    staged = common.staged(common.texts(docs).mapInArrow(_tokenise(tokenizer, end_id), TOKENS), "tokens")
+    counted = staged.where("counts IS NOT NULL").select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
+    tokens = staged.where("counts IS NULL").select("doc_id", "width", "ids")
     counts = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)
     for r in counted:
         counts[r.id] = r.n
@@ -200,7 +207,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, limit: in
     ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(_write(lengths, every, block_ids), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()), limit, every)], "lengths binary, limit int, every int").coalesce(1).write.parquet(f"{path}/code")
-    common.discard(spark, tokens)
+    common.discard(spark, staged)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ import pyarrow.compute as pc
 CACHE_WORDS = 400_000
 #: Words in one call of the library; a character that stands between them; punctuation that is split off.
 GROUP, MARK, TAIL = 128, "\x01", ".,!?&%$#*;:"
+PLAIN = re.compile("[a-z]+").fullmatch
 
 
 def traits(path: str) -> tuple[bool, bool]:
@@ -62,12 +65,22 @@ class BatchEncoder:
         self.kept = 1, 0  # rows and ids that stay
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and how many each has. Many go into one call, a mark between them, for the library takes long to set up each result."""
-        flat, sizes = [], []
-        for a in range(0, len(words), GROUP):
-            group = words[a : a + GROUP]
+        probes = ["a", "the", "qzx", "wordsthatgoonandon", "zz" * 30]  # whether plain letters are one piece to the vocabulary, and unchanged
+        self.direct = self.by_word and all([t.id for t in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes)
+
+    def _encode(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, the ids of all, and how many each has.
+
+        Plain letters go straight to the vocabulary's model. Many others go into one call, a mark between them,
+        for the library takes long to set up each result.
+        """
+        plain = [w for w in words if PLAIN(w)] if self.direct else []
+        others = [w for w in words if not PLAIN(w)] if self.direct else words
+        tokenize = self.tokenizer.model.tokenize
+        own = [[t.id for t in tokenize(w)] for w in plain]
+        flat, sizes = [np.fromiter(chain.from_iterable(own), np.uint32)], [np.fromiter(map(len, own), np.int64, len(own))]
+        for a in range(0, len(others), GROUP):
+            group = others[a : a + GROUP]
             joined = f" {MARK} ".join(group)
             if self.mark is not None and joined.count(MARK) == len(group) - 1 and "<|" not in joined:
                 ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
@@ -79,11 +92,11 @@ class BatchEncoder:
             own = [x.ids for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
             flat.append(np.array([i for x in own for i in x], np.uint32))
             sizes.append(np.array([len(x) for x in own], np.int64))
-        return np.concatenate(flat), np.concatenate(sizes)
+        return plain + others, np.concatenate(flat), np.concatenate(sizes)
 
     def _store(self, words: list[str]) -> dict[str, int]:
         """Encode words and put their ids after those that stay; the row of each."""
-        ids, sizes = self._encode(words)
+        words, ids, sizes = self._encode(words)
         (rows, end), n = self.kept, len(words)
         if end + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[:end], np.zeros(end + 2 * len(ids), np.uint32)])
