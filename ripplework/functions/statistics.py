@@ -98,11 +98,11 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r for all pairs of columns, in one pass over the rows."""
-    pairs = [(a, b) for a in columns for b in columns]
-    one = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(rows))
+    """a, b, r for all pairs of columns, in one pass over the rows; each pair is computed once."""
+    at = {(a, b): f"_{i}" for i, (a, b) in enumerate((a, b) for k, a in enumerate(columns) for b in columns[k:])}
+    one = df.agg(*[(F.when(F.stddev_pop(a) > 0, 1.0).otherwise(0.0) if a == b else correlation(F.col(a), F.col(b))).alias(name) for (a, b), name in at.items()])
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(at.get((a, b)) or at[b, a]).alias("r")) for a in columns for b in columns]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
