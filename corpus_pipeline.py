@@ -1,8 +1,8 @@
 """Corpus preparation from end to end: each stage works on what the one before has kept, written as Parquet and read again.
 
-Documents: doc_id, text, lang, source, n_chars. A stage that shortens texts counts n_chars anew. Rows that share
-a doc_id count as one document for near-duplicates: of them the first that is met stays. An empty table passes
-through all stages.
+Documents: doc_id, text, lang, source, n_chars. A stage that shortens texts counts n_chars anew. Of repeated rows
+one stays; rows that share a doc_id but not their text are documents by themselves. An empty table passes through
+all stages.
 """
 
 from __future__ import annotations

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplework.llm import common
@@ -191,7 +191,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 def _sketch(size: int, sketches: int, picks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "node", "n", "buckets"]
+        names = ["doc", "text_hash", "node", "n", "buckets"]
         for got in batches:
             words, bounds = word_hashes(got.column(1))
             values, ends = shingles(words, bounds, size)
@@ -203,7 +203,7 @@ def _sketch(size: int, sketches: int, picks: int):
                 rows = order_minhash(values, np.append(ends[some], ends[-1]), sketches, picks).view(np.int64)
                 for i, row in zip(some.tolist(), rows.tolist(), strict=True):
                     buckets[i] = row
-            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(node.view(np.int64)), pa.array(n), pa.array(buckets, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(2), pa.array(node.view(np.int64)), pa.array(n), pa.array(buckets, pa.list_(pa.int64()))], names)
 
     return run
 
@@ -293,13 +293,32 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, sketches: int = 24, picks: int = 3) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), n_copies and n_texts (rows with the same words; different texts in the class) of each row of docs (doc_id, text)."""
+    plain = lambda name: F.when(F.col(name) != FIRST, F.col(name))
+    return _classified(docs, threshold, shingle, sketches, picks).select(plain("doc").alias("doc_id"), plain("class_doc").alias("class_id"), F.col("rows").alias("n_copies"), "n_texts")
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, sketches: int = 24, picks: int = 3) -> DataFrame:
+    """docs with one row of each class: that of the smallest doc_id, and of the smallest hash among rows that share it; of equal rows one stays."""
+    found = _classified(docs, threshold, shingle, sketches, picks)
+    chosen = found.groupBy("class").agg(F.min(F.struct("doc", "text_hash")).alias("x")).select(F.col("x.doc").alias("_rw_doc"), F.col("x.text_hash").alias("_rw_hash"))
+    keyed = docs.withColumns({"_rw_doc": F.coalesce("doc_id", F.lit(FIRST)), "_rw_hash": _text_hash()})
+    key = ["_rw_doc", "_rw_hash"]
+    return keyed.join(chosen.distinct().hint("shuffle_hash"), key, "left_semi").dropDuplicates(key).drop(*key)
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _classified(docs: DataFrame, threshold: float, shingle: int, sketches: int, picks: int) -> DataFrame:
+    """doc, text_hash, class, class_doc, rows, n_texts of each row."""
     spark = docs.sparkSession
     common.bound_batches(spark)
-    keyed = common.texts(docs).select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), "text")
-    sketched = common.staged(keyed.mapInArrow(_sketch(shingle, sketches, picks), "doc long, node long, n long, buckets array<long>"), "sketches")
+    keyed = common.texts(docs).select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), "text", _text_hash().alias("text_hash"))
+    sketched = common.staged(keyed.mapInArrow(_sketch(shingle, sketches, picks), "doc long, text_hash long, node long, n long, buckets array<long>"), "sketches")
     texts = common.staged(sketched.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("rows")), "texts")
     members = _members(sketched, texts)
-    packed = _packed(keyed, texts, members, shingle)
+    packed = _packed(keyed.select("doc", "text"), texts, members, shingle)
 
     to_head = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     links = common.staged(_with_shingles(to_head, packed).mapInArrow(_verify(threshold), "a long, b long"), "found")
@@ -308,17 +327,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, s
 
     of_text = texts.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     of_class = of_text.groupBy("class").agg(F.min("doc").alias("class_doc"), F.count("*").alias("n_texts"))
-    of_text = of_text.join(of_class, "class").select("node", "rows", "class_doc", "n_texts")
-    plain = lambda name: F.when(F.col(name) != FIRST, F.col(name))
-    return sketched.select("doc", "node").join(of_text, "node").select(plain("doc").alias("doc_id"), plain("class_doc").alias("class_id"), F.col("rows").alias("n_copies"), "n_texts")
-
-
-def one_of_each(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
-    """docs with the row of the smallest doc_id of each class alone; of equal rows one stays."""
-    kept = near_duplicates(docs, threshold, shingle).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    keyed = docs.withColumn("_rw_doc", F.coalesce("doc_id", F.lit(FIRST)))
-    ids = kept.select(F.coalesce("doc_id", F.lit(FIRST)).alias("_rw_doc")).distinct().hint("shuffle_hash")
-    return keyed.join(ids, "_rw_doc", "left_semi").dropDuplicates(["_rw_doc"]).drop("_rw_doc")
+    of_text = of_text.join(of_class, "class").select("node", "rows", "class", "class_doc", "n_texts")
+    return sketched.select("doc", "text_hash", "node").join(of_text, "node").drop("node")
 
 
 def _members(sketched: DataFrame, texts: DataFrame) -> DataFrame:

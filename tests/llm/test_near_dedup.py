@@ -98,9 +98,9 @@ def test_classes_against_all_pairs(spark, monkeypatch):
 
 
 def test_one_of_each(spark):
-    rows = [(5, "x y z"), (2, "x  y z"), (2, "x y z"), (7, "p q r"), (None, None)]
+    rows = [(5, "x y z"), (2, "x  y z"), (2, "x y z"), (7, "p q r"), (7, "p q r"), (7, "another text"), (None, None)]
     kept = nd.one_of_each(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 2), (False, 7), (True, 0)] and kept[0].lang == "en"
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 2), (False, 7), (False, 7), (True, 0)] and kept[0].lang == "en"
 
 
 def test_empty_table(spark):
