@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplework.functions.binding import let
 from ripplework.operators import segments as seg
 from ripplework.operators import selection as sel
 from ripplework.operators.embedding import Compressor
@@ -34,9 +35,12 @@ class Output:
 
 def frames(recordings: DataFrame, sr: int = 22050, size: int = 2048, hop: int = 512, rec: str = "rec_id") -> DataFrame:
     """rec, frame, t, x (level) and voiced of each hop of a recording's samples, without a shuffle."""
-    n = F.floor(F.size("x") / hop).cast("int")
-    part = lambda i: F.slice("x", F.greatest(i * hop - size // 2, F.lit(0)) + 1, F.lit(size))
-    level = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.sqrt(F.aggregate(part(i), F.lit(0.0), lambda a, v: a + v * v) / size))
+    def levels(x: Column) -> Column:
+        part = lambda i: F.slice(x, F.greatest(i * hop - size // 2, F.lit(0)) + 1, F.lit(size))
+        last = F.greatest(F.floor(F.size(x) / hop).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.sqrt(F.aggregate(part(i), F.lit(0.0), lambda a, v: a + v * v) / size))
+
+    level = let(F.col("x"), levels)
     rows = recordings.select(rec, level.alias("_l")).withColumn("_top", F.array_max("_l"))
     out = rows.select(rec, "_top", F.posexplode("_l").alias("frame", "x"))
     return out.select(rec, "frame", (F.col("frame") * hop / F.lit(float(sr))).alias("t"), "x", (F.col("x") > 0.1 * F.col("_top")).alias("voiced"))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ripplework.functions.binding import let
+
 AUDIO_EXTENSIONS = (".wav", ".mp3", ".flac", ".m4a", ".aac", ".ogg", ".wma", ".aiff", ".au")
 VIDEO_EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv", ".wmv", ".flv", ".webm", ".m4v", ".3gp", ".ogv")
 VOICED_TYPES = ("view", "click")
@@ -51,8 +53,7 @@ def vectors(embeddings: DataFrame) -> DataFrame:
 
 def to_mono(channels: Column) -> Column:
     """Mean over an array of equally long channel arrays."""
-    n = F.size(channels)
-    return F.transform(F.sequence(F.lit(0), F.size(channels[0]) - 1), lambda i: F.aggregate(channels, F.lit(0.0), lambda a, c: a + c[i]) / n)
+    return let(channels, lambda ch: F.when(F.size(ch) == 1, ch[0]).otherwise(F.transform(F.sequence(F.lit(0), F.size(ch[0]) - 1), lambda i: F.aggregate(ch, F.lit(0.0), lambda a, c: a + c[i]) / F.size(ch))))
 
 
 def has_shape(channels: Column, n: int) -> Column:
@@ -102,8 +103,8 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
 def samples(waves: DataFrame, rec: str = "path") -> DataFrame:
     """Peak-normalised mono samples in long form: rec_id, frame, t (seconds), x."""
     mono = waves.where("error IS NULL").select(F.col(rec).alias("rec_id"), "sr", to_mono(F.col("channels")).alias("y"))
-    peak = F.greatest(F.array_max(F.transform("y", F.abs)), F.lit(1e-8))
-    return mono.select("rec_id", "sr", F.posexplode(F.transform("y", lambda v: v / peak)).alias("frame", "x")).select("rec_id", "frame", (F.col("frame") / F.col("sr")).alias("t"), "x")
+    scaled = let(F.col("y"), lambda y: let(F.greatest(F.array_max(y), -F.array_min(y), F.lit(1e-8)), lambda peak: F.transform(y, lambda v: v / peak)))
+    return mono.select("rec_id", "sr", F.posexplode(scaled).alias("frame", "x")).select("rec_id", "frame", (F.col("frame") / F.col("sr")).alias("t"), "x")
 
 
 def synthetic(spark: SparkSession, kind: str = "sine", freq: float = 440.0, seconds: float = 1.0, sr: int = 22050) -> DataFrame:

@@ -60,7 +60,7 @@ def test_tensor_store(spark, recordings, tmp_path):
 
 
 def test_wav_source(spark, tmp_path):
-    x = (np.sin(np.arange(4000) / 10) * 20000).astype("<i2")
+    x = (np.sin(np.arange(60_000) / 10) * 20000).astype("<i2")
     with wave.open(str(tmp_path / "s.wav"), "wb") as f:
         f.setnchannels(2)
         f.setsampwidth(2)
@@ -71,7 +71,7 @@ def test_wav_source(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r for r in waves.collect()}
     assert got["bad.wav"].error and len(got["s.wav"].channels) == 2
     rows = signals.samples(waves)
-    assert rows.count() == 4000 and rows.agg(F.max(F.abs("x")).alias("m")).first().m == pytest.approx(1.0)
+    assert rows.count() == 60_000 and rows.agg(F.max(F.abs("x")).alias("m")).first().m == pytest.approx(1.0)
     files = spark.createDataFrame([("a.WAV", 3), ("a.txt", 3), ("b.mp3", 0)], "path string, length long")
     assert [r.ok for r in files.select(signals.valid_media(F.col("path"), F.col("length")).alias("ok")).collect()] == [True, False, False]
 
