@@ -12,9 +12,9 @@ similarity of their shingles; unlike that, it falls when passages change places.
    random orders picks the `picks` smallest labelled shingles and retains their order in the text; that tuple is
    a bucket. Two texts of similarity 0.8 share one sketch with a chance of about 0.8 ** 3, so 24 sketches miss
    one pair in 3e7.
-3. Within a bucket every text is verified against the one of the smallest hash. The sketches agree on that one
-   for most small groups, so this is about one pair for each text.
-4. For buckets whose texts aren't all in one class after that (chains of edits; passages that many texts share)
+3. In the buckets of the first third of the sketches every text is verified against the one of the smallest hash.
+   The sketches agree on that one for most small groups, so this is about one pair for each text.
+4. For buckets, of all sketches, whose texts aren't all in one class after that (chains of edits; passages that many texts share)
    every pair of texts of different classes is verified, in pieces of bounded size that meet two at a time:
    nothing that shares a bucket is left out, and pairs that links connect already cost nothing. An exact count of common shingles, an
    upper bound of the alignment's, sorts out what can't reach the threshold before it is aligned.
@@ -317,13 +317,17 @@ def _classified(docs: DataFrame, threshold: float, shingle: int, sketches: int,
     keyed = common.texts(docs).select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), "text", _text_hash().alias("text_hash"))
     sketched = common.staged(keyed.mapInArrow(_sketch(shingle, sketches, picks), "doc long, text_hash long, node long, n long, buckets array<long>"), "sketches")
     texts = common.staged(sketched.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("rows")), "texts")
-    members = _members(sketched, texts)
-    packed = _packed(keyed.select("doc", "text"), texts, members, shingle)
+    sketched_texts = common.staged(sketched.where("n > 0").join(texts.select("node", "doc"), ["node", "doc"]).select("node", "n", "buckets"), "buckets")
 
+    members = _members(sketched_texts, max(1, sketches // 3))
+    packed = _packed(keyed.select("doc", "text"), texts, members.select("node").distinct(), shingle)
     to_head = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     links = common.staged(_with_shingles(to_head, packed).mapInArrow(_verify(threshold), "a long, b long"), "found")
-    rest = _across_classes(members, components(links), packed, threshold)
-    classes = components(links.unionByName(common.staged(rest, "found")))
+
+    odd = _odd(sketched_texts, components(links))
+    new = odd.select("node").distinct().join(packed.select("node"), "node", "left_anti")
+    packed = packed.unionByName(_packed(keyed.select("doc", "text"), texts, new, shingle))
+    classes = components(links.unionByName(common.staged(_across_classes(odd, packed, threshold), "found")))
 
     of_text = texts.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     of_class = of_text.groupBy("class").agg(F.min("doc").alias("class_doc"), F.count("*").alias("n_texts"))
@@ -331,17 +335,15 @@ def _classified(docs: DataFrame, threshold: float, shingle: int, sketches: int,
     return sketched.select("doc", "text_hash", "node").join(of_text, "node").drop("node")
 
 
-def _members(sketched: DataFrame, texts: DataFrame) -> DataFrame:
-    """bucket, node, n, head: texts in buckets of at least two."""
-    one = sketched.where("n > 0").join(texts.select("node", "doc"), ["node", "doc"])
-    buckets = one.select("node", "n", F.explode(F.array_distinct("buckets")).alias("bucket"))
+def _members(texts: DataFrame, first: int) -> DataFrame:
+    """bucket, node, head: texts in buckets of at least two, of the first sketches."""
+    buckets = texts.select("node", F.explode(F.array_distinct(F.slice("buckets", 1, first))).alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head")
-    return common.staged(buckets.join(heads, "bucket").select("bucket", "node", "n", "head").distinct(), "members")
+    return common.staged(buckets.join(heads, "bucket").select("bucket", "node", "head").distinct(), "members")
 
 
-def _packed(keyed: DataFrame, texts: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """node, shingles: for texts that are in a bucket with others."""
-    nodes = members.select("node").distinct()
+def _packed(keyed: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles of the nodes."""
     ids = texts.join(nodes, "node", "left_semi").select("doc").distinct().hint("shuffle_hash")
     found = keyed.join(ids, "doc", "left_semi").mapInArrow(_pack(shingle), "node long, shingles binary")
     return common.staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "shingles")
@@ -353,13 +355,17 @@ def _with_shingles(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
 
 
-def _across_classes(members: DataFrame, classes: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
-    """Links between texts of a bucket that aren't in one class yet."""
-    classed = members.select("bucket", "node", "n").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+def _odd(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, node, class, texts, words: the buckets of all sketches whose texts aren't in one class; of buckets with the same texts one."""
+    classed = texts.join(classes, "node", "left").select("node", "n", F.coalesce("class", "node").alias("class"), F.explode(F.array_distinct("buckets")).alias("bucket"))
     mark = F.xxhash64("node").cast("decimal(38,0)")
     mixed = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("words"), F.sum(mark).alias("mark")).where("low < high")
-    once = mixed.groupBy("mark", "texts").agg(F.min("bucket").alias("bucket"), F.min("words").alias("words")).drop("mark")  # sketches often make the same bucket
-    odd = classed.join(once, "bucket")
+    once = mixed.groupBy("mark", "texts").agg(F.min("bucket").alias("bucket"), F.min("words").alias("words")).drop("mark")
+    return common.staged(classed.drop("n").join(once, "bucket").distinct(), "odd")
+
+
+def _across_classes(odd: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """Links between texts of a bucket that aren't in one class yet."""
     counts = odd.groupBy("bucket", "class").count()
     major = counts.groupBy("bucket").agg(F.max(F.struct("count", "class")).alias("x")).select("bucket", F.col("x.class").alias("major"))
     pieces = F.greatest(F.ceil(F.col("texts") / PIECE_TEXTS), F.ceil(F.col("words") / PIECE_WORDS)).cast("int")
