@@ -9,7 +9,9 @@ Lines are compared by a 64-bit hash of their words.
    the first as well.
 2. Each pair's lines are aligned by patience diff: lines that occur once in both are matched in the longest
    common order, and what lies between two matches is aligned in the same way; blocks grow over equal neighbours.
-   Blocks in another order are found by aligning what is left, where they have `block_words` words.
+   Where no line is unique, the first occurrence of a line counts as one line, the second as another, and so on.
+   Blocks in another order are found by aligning what is left, where they have `block_words` words. Stretches of
+   `block_words` words that stand anywhere in both are taken as well, however often they stand in either.
 3. In the later document, what is aligned with any earlier one is united; runs of at least `block_words` words
    go. The rest of the text stays as it is, byte for byte.
 
@@ -37,6 +39,8 @@ from ripplework.llm import common
 #: Between lines: after a line break, and after the blank that follows a sentence's end.
 CUT = "(?<=\\n)|(?<=[.!?] )"
 FIRST = -(1 << 63)
+#: Hash of a line without words.
+BLANK = -7444071767201028348
 
 
 def lines_of(text: Column) -> Column:
@@ -85,6 +89,16 @@ def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _counted(lines: Sequence[int]) -> list[tuple[int, int]]:
+    """Each line with the number of times that it has stood before."""
+    seen: Counter[int] = Counter()
+    out = []
+    for x in lines:
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Matched places of a and b, ascending in both."""
     found: list[tuple[int, int]] = []
@@ -102,6 +116,9 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         place = {x: j for j, x in enumerate(b[b0:b1], b0) if in_b[x] == 1 and in_a.get(x) == 1}
         chain = _chain([(i, place[x]) for i, x in enumerate(a[a0:a1], a0) if x in place])
+        if not chain:  # no unique line: tell occurrences apart
+            counted = {x: j for j, x in enumerate(_counted(b[b0:b1]), b0)}
+            chain = _chain([(i, counted[x]) for i, x in enumerate(_counted(a[a0:a1]), a0) if x in counted])
         if not chain:
             continue
         found += chain
@@ -136,11 +153,51 @@ def aligned(a: list[int], b: list[int], words: list[int], block_words: int) -> l
         taken_b |= {j for _, j in new}
 
 
+def _stretches(words: list[int], block_words: int) -> Iterator[tuple[int, int]]:
+    """First place and end of the shortest stretches of at least block_words words, up to each line and from each line on."""
+    i = size = 0
+    for j, n in enumerate(words):
+        size += n
+        while size - words[i] >= block_words:
+            size -= words[i]
+            i += 1
+        if size >= block_words:
+            yield i, j + 1
+    j = size = 0
+    for i, n in enumerate(words):
+        while size < block_words and j < len(words):
+            size += words[j]
+            j += 1
+        if size < block_words:
+            return
+        yield i, j
+        size -= n
+
+
+def shared_stretches(a: list[int], b: list[int], words: list[int], block_words: int) -> set[int]:
+    """Places of a, whose lines have so many words, in stretches of at least block_words words that b has too; lines without words don't count."""
+    full = [i for i, n in enumerate(words) if n]
+    size = dict(zip(a, words, strict=True))
+    a_lines, b_lines = [a[i] for i in full], [x for x in b if x != BLANK]
+    known = [size.get(x, block_words) for x in b_lines]
+    in_b = {tuple(b_lines[i:j]) for i, j in _stretches(known, block_words)}
+    return {k for i, j in _stretches([words[i] for i in full], block_words) if tuple(a_lines[i:j]) in in_b for k in range(full[i], full[j - 1] + 1)}
+
+
+def places_of(a: list[int], b: list[int], words: list[int], block_words: int) -> list[int]:
+    """Places of a that b has, aligned or repeated."""
+    found = aligned(a, b, words, block_words)
+    hit, in_b = set(found), set(b)
+    if not runs([i for i, x in enumerate(a) if x in in_b and words[i]], words, block_words) or len(hit) == len(a):
+        return found
+    return sorted(hit | shared_stretches(a, b, words, block_words))
+
+
 def _align(block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
             later, first, words = (got.column(c).to_pylist() for c in ("hashes", "first_hashes", "words"))
-            places = [aligned(a, b, w, block_words) for a, b, w in zip(later, first, words, strict=True)]
+            places = [places_of(a, b, w, block_words) for a, b, w in zip(later, first, words, strict=True)]
             yield pa.RecordBatch.from_arrays([got.column("doc"), got.column("text_hash"), pa.array(places, pa.list_(pa.int32()))], ["doc", "text_hash", "places"])
 
     return run

@@ -61,6 +61,28 @@ def test_passages_against_a_simple_version(spark):
     assert by_id[105].text is None and by_id[None].text == hot and by_id[1].lang == "en" and by_id[1].words == 3
 
 
+def test_repeated_passages(spark):
+    r = random.Random(3)
+    passage = " ".join(sentence(r, 11) for _ in range(4))
+    other = lambda: " ".join(sentence(r, 9) for _ in range(3))
+    several = lambda n: "\n".join(x for _ in range(n) for x in (other(), passage)) + "\n" + other()
+    rows = [(1, several(2)), (2, several(1)), (3, several(13)), (4, several(3)), (5, other())]
+    got = {x.doc_id: x for x in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: x.text for d, x in got.items()} == dict(simple(rows, 20))
+    assert [got[d].words_removed for d in range(1, 6)] == [0, 44, 13 * 44, 3 * 44, 0]
+
+
+def test_shared_stretches(spark):
+    assert spark.range(1).selectExpr("xxhash64('') AS x").first().x == ld.BLANK
+    r = random.Random(4)
+    for _ in range(500):
+        a, b = ([r.randint(1, 4) for _ in range(r.randint(0, 12))] for _ in range(2))
+        words = [{1: 1, 2: 2, 3: 3, 4: 9}[x] for x in a]
+        runs = [(i, j) for i in range(len(a)) for j in range(i + 1, len(a) + 1) if sum(words[i:j]) >= 9 and any(a[i:j] == b[k : k + j - i] for k in range(len(b)))]
+        assert ld.shared_stretches(a, b, words, 9) == {k for i, j in runs for k in range(i, j)}
+    assert ld.places_of([5, 1, 2, 6, 1, 2], [1, 2, 7, 1, 2, 8, 9], [9] * 6, 18) == [1, 2, 4, 5]
+
+
 def test_same_id_and_empty_table(spark):
     long = " ".join(f"v{i}" for i in range(60)) + "."
     docs = spark.createDataFrame([(1, long), (1, long), (2, long)], "doc_id long, text string")
