@@ -3,10 +3,11 @@
 A line is a sentence, or the part of one, up to a line break: running text often has whole passages on one line.
 Lines are compared by a 64-bit hash of their words.
 
-1. Lines of at least `anchor_words` words propose pairs: each document that has one, with the first document
-   that has it (smallest doc_id). So a line in n documents proposes n - 1 pairs, never all of them, and no line
-   is too frequent to be taken into account; what the later documents share among each other they share with
-   the first as well.
+1. Anchors propose pairs: each document that has one, with the first document that has it (smallest doc_id). An
+   anchor is a line, joined with as many of the next ones as it takes to have `anchor_words` words, so that passages
+   of short lines have anchors too; lines without words are passed over. An anchor in n documents proposes n - 1
+   pairs, never all of them, and none is too frequent to be taken into account; an anchor that later documents share
+   among each other they share with the first as well.
 2. Each pair's lines are aligned by patience diff: lines that occur once in both are matched in the longest
    common order, and what lies between two matches is aligned in the same way; blocks grow over equal neighbours.
    Where no line is unique, the first occurrence of a line counts as one line, the second as another, and so on.
@@ -37,7 +38,7 @@ from pyspark.sql.types import LongType, StructType
 from ripplework.llm import common
 
 #: Between lines: after a line break, and after the blank that follows a sentence's end.
-CUT = "(?<=\\n)|(?<=[.!?] )"
+CUT = "(?<=[\\n ])(?:(?<=\\n)|(?<=[.!?] ))"  # the first part only makes most places fail early
 FIRST = -(1 << 63)
 #: Hash of a line without words.
 BLANK = -7444071767201028348
@@ -60,12 +61,31 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), F.xxhash64("text").alias("text_hash"), made.alias("_lines")).select("doc", "text_hash", "_lines.hashes", "_lines.words")
 
 
+def anchors(sketched: DataFrame, anchor_words: int) -> DataFrame:
+    """doc, hash and words: for each line with words, the hash of it and the next ones up to anchor_words words, and its own number of words. None where the text ends before."""
+
+    def anchor(full: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            joined, size = [x["hashes"]], x["words"]
+            out = F.when(size >= anchor_words, joined[0])
+            for k in range(1, anchor_words):
+                size = size + F.get(full, i + k)["words"]
+                joined.append(F.get(full, i + k)["hashes"])
+                out = out.when(size >= anchor_words, F.xxhash64(*joined))
+            return F.struct(out.alias("hash"), x["words"].alias("words"))
+
+        return F.transform(full, one)
+
+    made = common.let(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] > 0), anchor)
+    return sketched.select("doc", F.explode(made).alias("x")).select("doc", "x.hash", "x.words").where("hash IS NOT NULL")
+
+
 def pairs(sketched: DataFrame, anchor_words: int, block_words: int) -> DataFrame:
-    """later, first: documents to align."""
-    lines = sketched.select("doc", F.explode(F.arrays_zip("hashes", "words")).alias("x")).where(F.col("x.words") >= anchor_words).select("doc", F.col("x.hashes").alias("hash"), F.col("x.words").alias("words"))
+    """later, first: documents to align. A passage's last lines, of fewer than anchor_words words, begin no anchor within it."""
+    lines = anchors(sketched, anchor_words)
     firsts = lines.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hash", "first")
     met = lines.join(firsts, "hash").where("first < doc")
-    by_doc = met.groupBy("doc").agg(F.collect_set("first").alias("firsts"), F.sum("words").alias("shared")).where(F.col("shared") >= block_words)
+    by_doc = met.groupBy("doc").agg(F.collect_set("first").alias("firsts"), F.sum("words").alias("shared")).where(F.col("shared") > block_words - anchor_words)
     return by_doc.select(F.col("doc").alias("later"), F.explode("firsts").alias("first"))
 
 
@@ -111,7 +131,7 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             found.append((a1, b1))
-        if a0 == a1 or b0 == b1:
+        if a0 == a1 or b0 == b1 or set(a[a0:a1]).isdisjoint(b[b0:b1]):
             continue
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         place = {x: j for j, x in enumerate(b[b0:b1], b0) if in_b[x] == 1 and in_a.get(x) == 1}
@@ -187,10 +207,11 @@ def shared_stretches(a: list[int], b: list[int], words: list[int], block_words:
 def places_of(a: list[int], b: list[int], words: list[int], block_words: int) -> list[int]:
     """Places of a that b has, aligned or repeated."""
     found = aligned(a, b, words, block_words)
-    hit, in_b = set(found), set(b)
-    if not runs([i for i, x in enumerate(a) if x in in_b and words[i]], words, block_words) or len(hit) == len(a):
+    if len(found) == len(a):
         return found
-    return sorted(hit | shared_stretches(a, b, words, block_words))
+    in_b = set(b)
+    common_runs = runs([i for i, x in enumerate(a) if x in in_b and words[i]], words, block_words)
+    return found if set(found).issuperset(common_runs) else sorted({*found, *shared_stretches(a, b, words, block_words)})
 
 
 def _align(block_words: int):

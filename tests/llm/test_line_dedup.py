@@ -72,6 +72,18 @@ def test_repeated_passages(spark):
     assert [got[d].words_removed for d in range(1, 6)] == [0, 44, 13 * 44, 3 * 44, 0]
 
 
+def test_passages_of_short_lines(spark):
+    r = random.Random(5)
+    menu = "\n\n".join(sentence(r, r.randint(1, 3)) for _ in range(14))
+    verse = "\n".join(sentence(r, n) for n in (8, 3, 8, 2, 1))
+    junk = " ".join(f"w{r.randint(0, 5000)}!!" for _ in range(60))
+    rows = [(i, "\n".join([sentence(r, 12), (menu, verse, junk)[i % 3], sentence(r, 9)])) for i in range(12)]
+    rows += [(20, junk), (21, menu.replace("\n\n", "\n")), (22, "\n".join(sentence(r, 2) for _ in range(30)))]
+    got = {x.doc_id: x.text for x in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: t.split() for d, t in got.items()} == {d: t.split() for d, t in simple(rows, 20)}
+    assert got[20] == got[21] == "" and verse not in got[4] and got[0] == rows[0][1] and got[22] == rows[-1][1]
+
+
 def test_shared_stretches(spark):
     assert spark.range(1).selectExpr("xxhash64('') AS x").first().x == ld.BLANK
     r = random.Random(4)
