@@ -12,7 +12,8 @@ Images show their alt text.
 Rendering. White space collapses, but not in pre and textarea. Blocks stand on lines of their own; paragraphs,
 headings, lists, tables and the like have a blank line around them, margins collapsing. List items have "- " or
 their number, nested lists are indented. Table cells are aligned in columns separated by two blanks; a cell's
-own lines are joined by a blank, colspan counts. Links and other inline elements leave their text in its line.
+own lines are joined by a blank, colspan counts; cells within another element are cells of the row, and what else
+stands in a table, outside of its cells, is shown before it. Formulas, and texts of drawings, are text. Links and other inline elements leave their text in its line.
 
 Null html is an empty page. Attributes without values, unknown elements and broken markup don't stop it. Rows
 are handled each by itself; null ids stay null; further columns are ignored. An empty table gives no rows.
@@ -33,10 +34,12 @@ from ripplework.llm import common
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
-UNSEEN = frozenset("head script style template noscript title meta link base datalist object embed audio video canvas svg math iframe".split())
+UNSEEN = frozenset("head script style template noscript title meta link base datalist object embed audio video canvas iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir pre blockquote table figure fieldset hr".split())
 LISTS = frozenset("ul ol menu dir".split())
+#: What a drawing or a formula doesn't show.
+UNDRAWN = {"svg": frozenset("defs symbol clippath mask pattern marker metadata desc".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
 #: What a start tag closes, and up to which open element it looks.
 CLOSES = {
     "li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
@@ -55,10 +58,11 @@ HEAD_ONLY = frozenset("title meta link base style script template noscript".spli
 
 
 class Node:
-    __slots__ = ("attributes", "children", "name")
+    __slots__ = ("attributes", "children", "inside", "name")
 
     def __init__(self, name: str, attributes: dict[str, str]):
         self.name, self.attributes, self.children = name, attributes, []
+        self.inside = ""  # svg, text (of a drawing) or math
 
 
 def parse(source: str) -> Node:
@@ -114,6 +118,9 @@ def parse(source: str) -> Node:
             if deepest:
                 pop_to(deepest)
         node = Node(name, attributes)
+        node.inside = name if name in UNDRAWN else "" if name == "foreignobject" else "text" if name == "text" and open_[-1].inside == "svg" else open_[-1].inside
+        if name in UNDRAWN.get(node.inside, ()):
+            attributes["hidden"] = ""
         open_[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
@@ -123,7 +130,7 @@ def parse(source: str) -> Node:
             at = end.end() if end else len(source)
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             open_.append(node)
-        elif name not in VOID and name not in ("svg", "math", "path"):
+        elif name not in VOID and not node.inside and name != "path":
             open_.append(node)  # a slash means nothing on an HTML element
     return root
 
@@ -191,35 +198,65 @@ class Page:
         return "\n".join(self.lines)
 
 
-def _cells(table: Node) -> list[list[tuple[str, int]]]:
-    """Rows of (text, columns), in order, of a table's own rows."""
+def _rows(table: Node) -> tuple[list[list[tuple[str, int]]], list[Node | str]]:
+    """Rows of (text, columns), in order, of a table's own rows, and what stands in it but in no caption or cell."""
     rows: list[list[tuple[str, int]]] = []
-    stack = [iter(table.children)]
+    loose: list[Node | str] = []
     row: list[tuple[str, int]] | None = None
-    ends: list[bool] = [False]
+    holders = _holders(table)
+    stack = [iter(table.children)]
+    in_row: list[bool] = [False]
     while stack:
         child = next(stack[-1], None)
         if child is None:
             stack.pop()
-            ends.pop()
+            if in_row.pop():
+                row = None
             continue
-        if isinstance(child, str) or not visible(child):
+        if isinstance(child, str):
+            if child.strip():
+                loose.append(child)
             continue
-        if child.name == "tr":
-            row = []
-            rows.append(row)
-            stack.append(iter(child.children))
-            ends.append(True)
-        elif child.name in ("td", "th"):
+        if not visible(child) or child.name == "col" or (child.name == "caption" and len(stack) == 1):
+            continue
+        if child.name in ("td", "th"):
             if row is None or len(stack) == 1:
                 row = []
                 rows.append(row)
             span = child.attributes.get("colspan", "1")
             row.append((" ".join(x.strip() for x in render(child).split("\n") if x.strip()), min(int(span), 1000) if span.isdigit() and int(span) else 1))
-        elif child.name in ("tbody", "thead", "tfoot"):
+        elif child.name == "tr":
+            row = []
+            rows.append(row)
             stack.append(iter(child.children))
-            ends.append(False)
-    return [r for r in rows if r]
+            in_row.append(True)
+        elif child.name in ("tbody", "thead", "tfoot") or id(child) in holders:
+            stack.append(iter(child.children))
+            in_row.append(False)
+        else:
+            loose.append(child)
+    return [r for r in rows if r], loose
+
+
+def _holders(table: Node) -> set[int]:
+    """ids of the elements in which rows or cells of this table stand."""
+    out: set[int] = set()
+    above: dict[int, Node] = {}
+    todo = [table]
+    while todo:
+        node = todo.pop()
+        for c in node.children:
+            if isinstance(c, str):
+                continue
+            above[id(c)] = node
+            if c.name in ("tr", "td", "th"):
+                up = node
+                while up is not table and id(up) not in out:
+                    out.add(id(up))
+                    up = above[id(up)]
+            if c.name not in ("table", "td", "th", "caption"):
+                todo.append(c)
+    return out
 
 
 def _table(table: Node, page: Page) -> None:
@@ -227,13 +264,12 @@ def _table(table: Node, page: Page) -> None:
     for c in caption:
         page.put(render(c).replace("\n", " "))
         page.brk(1)
-    loose = [c for c in table.children if (isinstance(c, str) and c.strip()) or (not isinstance(c, str) and c.name not in ("caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th"))]
+    rows, loose = _rows(table)
     for c in loose:  # what doesn't belong into a table is shown before it
         holder = Node("div", {})
         holder.children = [c]
         page.put(render(holder).replace("\n", " "))
         page.brk(1)
-    rows = _cells(table)
     widths: list[int] = []
     for row in rows:
         k = 0
@@ -324,8 +360,9 @@ def render(node: Node) -> str:
         raw = raw or name in ("pre", "textarea")
         stack.append(("close", node, raw))
         for child in reversed(node.children):
-            stack.append(("text", child, raw) if isinstance(child, str) else ("open", child, raw))
-        if name in ("td", "th", "option"):
+            if not (isinstance(child, str) and node.inside == "svg"):
+                stack.append(("text", child, raw) if isinstance(child, str) else ("open", child, raw))
+        if name in ("td", "th", "option") or (name == "text" and node.inside == "text"):
             page.put(" ")
     return page.text()
 

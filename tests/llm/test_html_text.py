@@ -28,6 +28,28 @@ def test_cases(source, text):
     assert html_text.page_text(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<table><tr><form><td>A</td><td>B</td></form></tr></table>", "A  B"),
+        ("<table><form><tr><td>A</td><td>B</td></tr>say</form><tr><td>C</td></tr></table>", "say\nA  B\nC"),
+        ("<table><tbody>x<tr>y<b>z</b><td>A</td></tr></tbody></table>", "x\ny\nz\nA"),
+        ("<table><tr><td>a<table><tr><form><td>b</td></form></tr></table></td></tr></table>", "a b"),
+        ("<table><tr><form hidden><td>A</td></form><td>B</td></tr></table>", "B"),
+        ("<table><colgroup><col><td>A</td></table>", "A"),
+        ("x<math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>a=2</annotation></math>y", "xa=2y"),
+        ("<svg><title>t</title><defs/><g>no<text>A <tspan>b</tspan></text><circle/><text>C</text></g><defs><text>D</text></defs></svg>", "A b C"),
+        ("<svg><foreignObject><p>in</p></foreignObject></svg><annotation>out</annotation>", "in\n\nout"),
+    ],
+)
+def test_all_visible_text(source, text):
+    assert html_text.page_text(source) == text
+
+
+def test_deep_tables_end():
+    assert html_text.page_text("<table>" + "<div>" * 50_000 + "<tr><td>x") == "x"
+
+
 def test_deep_and_broken_markup_ends():
     assert html_text.page_text("<div>" * 50_000 + "x") == "x"
     assert "x" in html_text.page_text("<table><tr><td>" * 3000 + "x")
