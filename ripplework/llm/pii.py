@@ -96,7 +96,7 @@ KINDS = (
     Kind("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", _phone, 0.6, "phone|tel|call|mobile|fax|contact", 0.3, True),
     Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\\x20[A-Z0-9]{4}){2,7}(?:\\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", _iban, 0.8, "iban|bank|account|konto|cuenta|compte", 0.2, False),
     Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn, 0.3, "ssn|social|security", 0.5, False),
-    Kind("secret", "(?<![A-Za-z0-9])[0-9A-Za-z_-]{24,128}+(?![A-Za-z0-9])", _secret, 0.2, "token|secret|passw|api.?key|\\bkey\\b|bearer|credential", 0.6, False),
+    Kind("secret", "(?<![A-Za-z0-9])[0-9A-Za-z_-]{24,}+(?![A-Za-z0-9])", _secret, 0.2, "token|secret|passw|api.?key|\\bkey\\b|bearer|credential", 0.6, False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 

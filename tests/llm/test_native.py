@@ -134,3 +134,10 @@ def test_chat_matches_sql(spark, sf_dir):
     want = con.execute(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid FROM ({chat.ORACLE}) ORDER BY conv_id").fetchall()
     got = entries.op8_chat(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid").orderBy("conv_id").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_long_secrets(spark):
+    long, cut = "aB3_" * 100, "Zk9" * 43
+    docs = spark.createDataFrame([(1, f"token {long} and key {cut}."), (2, "-" * 100_000 + " " + "ab" * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii] for r in pii.find_personal_data(docs).collect()}
+    assert got == {1: [("secret", 6, 406), ("secret", 415, 544)], 2: []}
