@@ -1,35 +1,43 @@
-"""Line dedup by pairwise alignment: documents that share lines are aligned, and what is aligned goes from the later one.
+"""Line dedup by pairwise alignment: documents that share rare lines are aligned, and common blocks go from the later one.
 
 A line is a sentence, or the part of one, up to a line break: running text often has whole passages on one line.
-Lines are compared by a 64-bit hash of their words.
-
-1. Anchors propose pairs: each document that has one, with the first document that has it (smallest doc_id). An
-   anchor is a line, joined with as many of the next ones as it takes to have `anchor_words` words, so that passages
-   of short lines have anchors too; lines without words are passed over. An anchor in n documents proposes n - 1
-   pairs, never all of them, and none is too frequent to be taken into account; an anchor that later documents share
-   among each other they share with the first as well.
-2. Each pair's lines are aligned by patience diff: lines that occur once in both are matched in the longest
-   common order, and what lies between two matches is aligned in the same way; blocks grow over equal neighbours.
-   Where no line is unique, the first occurrence of a line counts as one line, the second as another, and so on.
-   Blocks in another order are found by aligning what is left, where they have `block_words` words. Stretches of
-   `block_words` words that stand anywhere in both are taken as well, however often they stand in either.
-3. In the later document, what is aligned with any earlier one is united; runs of at least `block_words` words
-   go. The rest of the text stays as it is, byte for byte.
-
-Only line hashes are shuffled to find and align pairs; texts meet their removals once, in a join that doesn't
-sort them. A text that is a copy of an earlier one is emptied by this.
+Sentences end at . ! ? and their full-width forms, quotation marks and brackets after them included. A line of more
+than LONG words is cut further, after words that a hash chooses, so that a passage in its middle is cut alike in
+every document. Lines are compared by a 64-bit hash of their bytes without the blanks around; lines without words
+are passed over.
+
+1. An anchor is a run of lines in a row that just reaches `block_words` words, from a line on or up to one, known by
+   one hash. Each line of a block of `block_words` words or more that two documents share is in an anchor that lies
+   in the block, so that they share it too.
+2. Rare anchors, which at most `rare` runs in all documents are, propose every pair of their documents. The rest,
+   however frequent, is dealt with exactly and at a linear cost: each document that has the anchor is paired with the
+   first that has it (smallest doc_id). So no line of a shared block is lost.
+3. Each pair is aligned by patience diff, over the lines of its shared anchors: lines that occur once in both are
+   matched in the longest common order, and what lies between two matches is aligned in the same way. Matches that
+   follow each other in both documents form a block; blocks of at least `block_words` words count. What is left is
+   aligned again, for blocks in another order, until none is found; stretches of `block_words` words that stand
+   several times in the later document are found by looking up all of the earlier one's.
+4. The lines of a later document's blocks, each measured within its own pair, are united and go. Blank lines between
+   two lines that go, go with them. The rest of the text stays as it is, byte for byte.
+
+Pairs carry only lines that they share, so a long document with many partners isn't repeated whole. Anchors that more
+than one in HOT of all runs are can't be more than HOT; they are broadcast, and the others are joined, so no task gets
+all rows of a hot anchor. Texts meet their removals once, in a join that doesn't sort them. A text that is a copy of
+an earlier one is emptied.
 
 Null text is empty and stays null. Null doc_id counts as the smallest. Rows that share a doc_id are one document
-for the order and don't lose lines to each other; each has its own text shortened. Further columns stay; an
-empty table gives no rows.
+for the order and don't lose lines to each other; each has its own text shortened. Very long texts are cut and aligned
+whole. Further columns stay, but for lines_removed and words_removed, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,56 +45,140 @@ from pyspark.sql.types import LongType, StructType
 
 from ripplework.llm import common
 
-#: Between lines: after a line break, and after the blank that follows a sentence's end.
-CUT = "(?<=[\\n ])(?:(?<=\\n)|(?<=[.!?] ))"  # the first part only makes most places fail early
 FIRST = -(1 << 63)
-#: Hash of a line without words.
-BLANK = -7444071767201028348
+BLANK = b" \t\n\x0b\x0c\r"
+#: Ends of lines: a line break; a sentence's end with the quotation marks and brackets after it, and a blank; full-width ends.
+END = re.compile(rb"\n|[.!?](?:[\"')\]]|\xe2\x80[\x99\x9d]|\xc2\xbb)* |\xe3\x80\x82|\xef\xbc[\x81\x9f]")
+#: Words of a line at most before it is cut by content, and one in how many words ends a part.
+LONG, STEP = 40, 8
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+HOT = 1 << 11
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+LINES = "doc long, text_hash long, hashes array<long>, words array<int>, anchors array<long>"
+
+
+def lines_of(text: bytes) -> list[bytes]:
+    """The lines, with the blanks after them, so that they join to the text again."""
+    import xxhash
+
+    out, at = [], 0
+    for m in END.finditer(text):
+        out.append(text[at : m.end()])
+        at = m.end()
+    out.append(text[at:])
+    if max(map(len, out)) <= 2 * LONG:
+        return out
+    parts: list[bytes] = []
+    for line in out:
+        if len(line) <= 2 * LONG or len(line.split()) <= LONG:
+            parts.append(line)
+            continue
+        at = 0
+        for m in WORD.finditer(line):
+            if xxhash.xxh32_intdigest(m[0]) % STEP == 0:
+                parts.append(line[at : m.end()])
+                at = m.end()
+        parts.append(line[at:])
+    return parts
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def runs_of(words: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the shortest runs of lines with at least block_words words, from each line on and up to each line."""
+    n = len(words)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends = np.searchsorted(total, total[:-1] + block_words)
+    starts = np.searchsorted(total, total[1:] - block_words, "right") - 1
+    on, upto = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
+    both = np.unique(np.concatenate([on * (n + 1) + ends[on], starts[upto] * (n + 1) + upto + 1]))
+    return both // (n + 1), both % (n + 1)
+
+
+def anchors_of(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of lines."""
+    out = np.full(len(starts), _BASE, np.uint64)
+    size = ends - starts
+    for k in range(int(size.max(initial=0))):
+        live = np.flatnonzero(size > k)
+        out[live] = _mixed(out[live] * np.uint64(31) + hashes[starts[live] + k])
+    return out
 
 
-def lines_of(text: Column) -> Column:
-    """The lines, with the blanks after them, so that they join to the text again."""
-    return F.split(text, CUT, -1)
+def _sketch(block_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for got in batches:
+            hashes, words, anchors = [], [], []
+            for text in got.column("text").cast(pa.large_binary()).to_pylist():
+                full = [x for x in (line.strip(BLANK) for line in lines_of(text)) if x]
+                h = np.fromiter(map(digest, full), np.uint64, len(full))
+                w = np.fromiter((len(x.split()) for x in full), np.int32, len(full))
+                hashes.append(h.view(np.int64))
+                words.append(w)
+                anchors.append(anchors_of(h, *runs_of(w, block_words)).view(np.int64))
+            columns = [_lists(hashes, pa.int64()), _lists(words, pa.int32()), _lists(anchors, pa.int64())]
+            yield pa.RecordBatch.from_arrays([got.column("doc"), got.column("text_hash"), *columns], [x.split()[0] for x in LINES.split(", ")])
+
+    return run
 
 
-def _trimmed(line: Column) -> Column:
-    return F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else [], kind))
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """doc (the order), text_hash, and each line's hash and number of words."""
-    lines = F.transform(lines_of(F.coalesce("text", F.lit(""))), _trimmed)
-    words = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, "[\\x20\\x09-\\x0D]+")))
-    made = common.let(lines, lambda x: F.struct(F.transform(x, lambda y: F.xxhash64(y)).alias("hashes"), F.transform(x, words).alias("words")))
-    return docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), F.xxhash64("text").alias("text_hash"), made.alias("_lines")).select("doc", "text_hash", "_lines.hashes", "_lines.words")
+def sketch(docs: DataFrame, block_words: int) -> DataFrame:
+    """doc (the order), text_hash, hash and words of each line that has any, and the anchors (see runs_of)."""
+    keyed = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
+    return keyed.mapInArrow(_sketch(block_words), LINES)
 
 
-def anchors(sketched: DataFrame, anchor_words: int) -> DataFrame:
-    """doc, hash and words: for each line with words, the hash of it and the next ones up to anchor_words words, and its own number of words. None where the text ends before."""
+def _limit(sketched: DataFrame) -> int:
+    """Fewer than HOT anchors are more runs than this."""
+    return (sketched.agg(F.sum(F.size("anchors"))).first()[0] or 0) // HOT + 1
 
-    def anchor(full: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            joined, size = [x["hashes"]], x["words"]
-            out = F.when(size >= anchor_words, joined[0])
-            for k in range(1, anchor_words):
-                size = size + F.get(full, i + k)["words"]
-                joined.append(F.get(full, i + k)["hashes"])
-                out = out.when(size >= anchor_words, F.xxhash64(*joined))
-            return F.struct(out.alias("hash"), x["words"].alias("words"))
 
-        return F.transform(full, one)
+def shared_anchors(sketched: DataFrame, limit: int) -> DataFrame:
+    """doc, text_hash, anchor, first, n: anchors that at least two documents have, the first document that has each, and how many runs are it."""
+    began = sketched.select("doc", "text_hash", F.explode("anchors").alias("anchor"))
+    groups = began.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    groups = common.staged(groups, "anchors")
+    hot = F.broadcast(groups.where(F.col("n") > limit))
+    often = began.join(hot, "anchor")
+    seldom = began.join(hot.select("anchor"), "anchor", "left_anti").join(groups.where(F.col("n") <= limit), "anchor")
+    return often.unionByName(seldom)
 
-    made = common.let(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] > 0), anchor)
-    return sketched.select("doc", F.explode(made).alias("x")).select("doc", "x.hash", "x.words").where("hash IS NOT NULL")
 
+REACHED = "doc long, text_hash long, anchor long, first long, n long, place int, hashes array<long>, words array<int>"
 
-def pairs(sketched: DataFrame, anchor_words: int, block_words: int) -> DataFrame:
-    """later, first: documents to align. A passage's last lines, of fewer than anchor_words words, begin no anchor within it."""
-    lines = anchors(sketched, anchor_words)
-    firsts = lines.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hash", "first")
-    met = lines.join(firsts, "hash").where("first < doc")
-    by_doc = met.groupBy("doc").agg(F.collect_set("first").alias("firsts"), F.sum("words").alias("shared")).where(F.col("shared") > block_words - anchor_words)
-    return by_doc.select(F.col("doc").alias("later"), F.explode("firsts").alias("first"))
+
+def _reach(block_words: int):
+    """For each shared anchor of a document its place and lines; once if it stands there several times, but each time where the document isn't the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in REACHED.split(", ")]
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        for got in batches:
+            rows = []
+            for doc, text_hash, hashes, words, anchors, shared in zip(*(got.column(c).to_pylist() for c in ("doc", "text_hash", "hashes", "words", "anchors", "shared")), strict=True):
+                of = {x["anchor"]: (x["first"], x["n"]) for x in shared}
+                starts, ends = runs_of(np.array(words, np.int32), block_words)
+                for anchor, a, b in zip(anchors, starts.tolist(), ends.tolist(), strict=True):
+                    if known := of.get(anchor):
+                        rows.append((doc, text_hash, anchor, *known, a, hashes[a:b], words[a:b]))
+                        if known[0] == doc:
+                            del of[anchor]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+
+    return run
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -150,114 +242,128 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def aligned(a: list[int], b: list[int], words: list[int], block_words: int) -> list[int]:
-    """Places of a that are aligned with places of b."""
-    kept = patience(a, b)
-    taken_a, taken_b = {i for i, _ in kept}, {j for _, j in kept}
-    while True:
-        rest_a, rest_b = [i for i in range(len(a)) if i not in taken_a], [j for j in range(len(b)) if j not in taken_b]
-        common_lines = {a[i] for i in rest_a} & {b[j] for j in rest_b}
-        if sum(words[i] for i in rest_a if a[i] in common_lines) < block_words:
-            return sorted(taken_a)
-        more = [(rest_a[i], rest_b[j]) for i, j in patience([a[i] for i in rest_a], [b[j] for j in rest_b])]
-        blocks: list[list[tuple[int, int]]] = []
-        for i, j in more:
-            if blocks and blocks[-1][-1] == (i - 1, j - 1):
-                blocks[-1].append((i, j))
-            else:
-                blocks.append([(i, j)])
-        new = [m for block in blocks if sum(words[i] for i, _ in block) >= block_words for m in block]
-        if not new:
-            return sorted(taken_a)
-        taken_a |= {i for i, _ in new}
-        taken_b |= {j for _, j in new}
-
-
-def _stretches(words: list[int], block_words: int) -> Iterator[tuple[int, int]]:
-    """First place and end of the shortest stretches of at least block_words words, up to each line and from each line on."""
-    i = size = 0
-    for j, n in enumerate(words):
-        size += n
-        while size - words[i] >= block_words:
-            size -= words[i]
-            i += 1
-        if size >= block_words:
-            yield i, j + 1
-    j = size = 0
-    for i, n in enumerate(words):
-        while size < block_words and j < len(words):
+def _stretches(places: list[int], words: list[int], block_words: int) -> Iterator[tuple[int, int]]:
+    """Bounds of the shortest stretches of lines in a row with at least block_words words, up to each line and from each line on."""
+    cuts = [0, *(i for i in range(1, len(places)) if places[i] != places[i - 1] + 1), len(places)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        i = low
+        size = 0
+        for j in range(low, high):
             size += words[j]
-            j += 1
-        if size < block_words:
-            return
-        yield i, j
-        size -= n
+            while size - words[i] >= block_words:
+                size -= words[i]
+                i += 1
+            if size >= block_words:
+                yield i, j + 1
+        j, size = low, 0
+        for i in range(low, high):
+            while size < block_words and j < high:
+                size += words[j]
+                j += 1
+            if size < block_words:
+                break
+            yield i, j
+            size -= words[i]
 
 
-def shared_stretches(a: list[int], b: list[int], words: list[int], block_words: int) -> set[int]:
-    """Places of a, whose lines have so many words, in stretches of at least block_words words that b has too; lines without words don't count."""
-    full = [i for i, n in enumerate(words) if n]
-    size = dict(zip(a, words, strict=True))
-    a_lines, b_lines = [a[i] for i in full], [x for x in b if x != BLANK]
-    known = [size.get(x, block_words) for x in b_lines]
-    in_b = {tuple(b_lines[i:j]) for i, j in _stretches(known, block_words)}
-    return {k for i, j in _stretches([words[i] for i in full], block_words) if tuple(a_lines[i:j]) in in_b for k in range(full[i], full[j - 1] + 1)}
+#: Lines of one document: places, hashes, words; places that follow each other are lines in a row.
+Side = tuple[list[int], list[int], list[int]]
 
 
-def places_of(a: list[int], b: list[int], words: list[int], block_words: int) -> list[int]:
-    """Places of a that b has, aligned or repeated."""
-    found = aligned(a, b, words, block_words)
-    if len(found) == len(a):
-        return found
-    in_b = set(b)
-    common_runs = runs([i for i, x in enumerate(a) if x in in_b and words[i]], words, block_words)
-    return found if set(found).issuperset(common_runs) else sorted({*found, *shared_stretches(a, b, words, block_words)})
+def common_blocks(later: Side, first: Side, block_words: int) -> set[int]:
+    """Places of the later document's lines in blocks of at least block_words words that the earlier one has too."""
+    places, lines, words = later
+    places_b, lines_b, words_b = first
+    gone: set[int] = set()
+    rest_a, rest_b = list(range(len(lines))), list(range(len(lines_b)))
+    while rest_a and rest_b:
+        blocks: list[list[tuple[int, int]]] = []
+        for i, j in patience([lines[i] for i in rest_a], [lines_b[j] for j in rest_b]):
+            i, j = rest_a[i], rest_b[j]
+            if blocks and places[i] == places[blocks[-1][-1][0]] + 1 and places_b[j] == places_b[blocks[-1][-1][1]] + 1:
+                blocks[-1].append((i, j))
+            else:
+                blocks.append([(i, j)])
+        found = [m for block in blocks if sum(words[i] for i, _ in block) >= block_words for m in block]
+        if not found:
+            break
+        gone.update(i for i, _ in found)
+        rest_a = [i for i in rest_a if i not in gone]
+        taken = {j for _, j in found}
+        rest_b = [j for j in rest_b if j not in taken]
+    if rest_a:  # what stands several times, or overlaps what has been aligned
+        known = {tuple(lines_b[i:j]) for i, j in _stretches(places_b, words_b, block_words)}
+        for i, j in _stretches(places, words, block_words):
+            if tuple(lines[i:j]) in known:
+                gone.update(range(i, j))
+    return {places[i] for i in gone}
+
+
+def _side(rows: list[tuple[int, list[int], list[int]]]) -> Side:
+    """Lines from the stretches (place, hashes, words) that anchors reach."""
+    of: dict[int, tuple[int, int]] = {}
+    for place, hashes, words in rows:
+        of.update(zip(range(place, place + len(hashes)), zip(hashes, words, strict=True), strict=False))
+    places = sorted(of)
+    return places, [of[p][0] for p in places], [of[p][1] for p in places]
 
 
 def _align(block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            later, first, words = (got.column(c).to_pylist() for c in ("hashes", "first_hashes", "words"))
-            places = [places_of(a, b, w, block_words) for a, b, w in zip(later, first, words, strict=True)]
-            yield pa.RecordBatch.from_arrays([got.column("doc"), got.column("text_hash"), pa.array(places, pa.list_(pa.int32()))], ["doc", "text_hash", "places"])
+            out = []
+            for rows in got.column("met").to_pylist():
+                later = _side([(x["place"], x["hashes"], x["words"]) for x in rows])
+                first = _side([(x["b_place"], x["b_hashes"], x["b_words"]) for x in rows])
+                out.append(sorted(common_blocks(later, first, block_words)))
+            yield pa.RecordBatch.from_arrays([got.column("doc"), got.column("text_hash"), pa.array(out, pa.list_(pa.int32()))], ["doc", "text_hash", "places"])
 
     return run
 
 
-def runs(places: list[int], words: list[int], block_words: int) -> list[int]:
-    """Places in runs of at least block_words words; lines without words don't end a run."""
-    out, run, size = [], [], 0
-    hit = set(places)
-    for i, n in enumerate(words):
-        if i in hit or (run and not n):
-            run.append(i)
-            size += n
-            continue
-        if size >= block_words:
-            out += run
-        run, size = [], 0
-    if size >= block_words:
-        out += run
-    while out and out[-1] not in hit:
-        out.pop()
-    return out
-
-
-def removals(docs: DataFrame, anchor_words: int, block_words: int) -> DataFrame:
-    """doc, text_hash and the lines (places) to remove, for documents that lose any."""
+def removals(docs: DataFrame, block_words: int, rare: int) -> DataFrame:
+    """doc, text_hash and the lines with words (places among them) to remove, for documents that lose any."""
     common.bound_batches(docs.sparkSession)
-    sketched = common.staged(sketch(docs), "lines")
-    near = pairs(sketched, anchor_words, block_words)
-    first = sketched.select(F.col("doc").alias("first"), F.col("hashes").alias("first_hashes"))
-    sided = near.join(sketched, near["later"] == sketched["doc"]).join(first, "first").select("doc", "text_hash", "hashes", "words", "first_hashes")
-    met = sided.mapInArrow(_align(block_words), "doc long, text_hash long, places array<int>")
-    return met.groupBy("doc", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
-
+    sketched = common.staged(sketch(docs, block_words), "lines")
+    limit, key = _limit(sketched), ["doc", "text_hash"]
+    own = shared_anchors(sketched, limit).groupBy(*key).agg(F.collect_set(F.struct("anchor", "first", "n")).alias("shared"))  # of one text
+    reached = own.join(sketched, key).mapInArrow(_reach(block_words), REACHED)
+    reached = common.staged(reached.dropDuplicates([*key, "place", "anchor"]), "reached")  # repeated rows
+    later = reached.where("doc <> first").drop("first")
+    holders = reached.where((F.col("n") <= rare) | (F.col("doc") == F.col("first"))).dropDuplicates(["anchor", "doc"])
+    holders = holders.select("anchor", F.col("n").alias("b_n"), F.col("doc").alias("b_doc"), F.col("text_hash").alias("b_hash"), F.col("place").alias("b_place"), F.col("hashes").alias("b_hashes"), F.col("words").alias("b_words"))
+    often = later.where(F.col("n") > limit).join(F.broadcast(holders.where(F.col("b_n") > limit)), "anchor")  # at most `rare` of each
+    seldom = later.where(F.col("n") <= limit).join(holders.where(F.col("b_n") <= limit), "anchor")
+    met = often.unionByName(seldom).where("b_doc < doc")
+    pairs = met.groupBy(*key, "b_doc", "b_hash").agg(F.collect_list(F.struct("place", "hashes", "words", "b_place", "b_hashes", "b_words")).alias("met"))
+    found = pairs.mapInArrow(_align(block_words), "doc long, text_hash long, places array<int>")
+    return found.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places")).where(F.size("places") > 0)
+
+
+def shortened(text: bytes, gone: list[int]) -> tuple[bytes, int, int]:
+    """The text without the lines with words at these places and the blank lines between two of them; how many lines and words went."""
+    lost, lines, words, kept = set(gone), 0, 0, []
+    at, blanks = -1, []
+    for line in lines_of(text):
+        n = len(line.split())
+        if not n:
+            blanks.append(line)
+            continue
+        at += 1
+        if at in lost:
+            if at - 1 in lost:
+                lines += len(blanks)
+            else:
+                kept += blanks
+            lines, words = lines + 1, words + n
+        else:
+            kept += [*blanks, line]
+        blanks = []
+    return b"".join([*kept, *blanks]), lines, words
 
-def _shorten(names: list[str], block_words: int):
-    import re
 
-    cut, at = re.compile(CUT.replace("\\\\", "\\")), names.index("text")
+def _shorten(names: list[str]):
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
@@ -265,23 +371,20 @@ def _shorten(names: list[str], block_words: int):
             lost_lines, lost_words = [0] * len(texts), [0] * len(texts)
             for k, (text, hit) in enumerate(zip(texts, places, strict=True)):
                 if text and hit:
-                    lines = cut.split(text)
-                    words = [len(x.split()) for x in lines]
-                    gone = set(runs(hit, words, block_words))
-                    texts[k] = "".join(x for i, x in enumerate(lines) if i not in gone)
-                    lost_lines[k], lost_words[k] = len(gone), sum(words[i] for i in gone)
+                    left, lost_lines[k], lost_words[k] = shortened(text.encode("utf-8", "surrogatepass"), hit)
+                    texts[k] = left.decode("utf-8", "surrogatepass")
             columns = [*got.columns[:at], pa.array(texts, got.column(at).type), *got.columns[at + 1 : len(names)], pa.array(lost_lines, pa.int64()), pa.array(lost_words, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lines_removed", "words_removed"])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, anchor_words: int = 4, block_words: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, block_words: int = 20, rare: int = 4) -> DataFrame:
     """docs (doc_id, text, and others, which stay) with repeated passages removed from later texts, and lines_removed and words_removed."""
-    gone = removals(docs, anchor_words, block_words)
+    gone = removals(docs, block_words, rare)
     kept = [f for f in docs.schema.fields if f.name not in ("lines_removed", "words_removed")]
     keyed = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce("doc_id", F.lit(FIRST)).alias("_rw_doc"), F.xxhash64("text").alias("_rw_hash"))
     gone = gone.select(F.col("doc").alias("_rw_doc"), F.col("text_hash").alias("_rw_hash"), F.col("places").alias("_rw_places")).hint("shuffle_hash")
     joined = keyed.join(gone, ["_rw_doc", "_rw_hash"], "left").select(*[F.col(f"`{f.name}`") for f in kept], "_rw_places")
     out = StructType([*kept]).add("lines_removed", LongType()).add("words_removed", LongType())
-    return joined.mapInArrow(_shorten([f.name for f in kept], block_words), out)
+    return joined.mapInArrow(_shorten([f.name for f in kept]), out)

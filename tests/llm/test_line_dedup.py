@@ -1,19 +1,44 @@
 import random
-import re
 
+import numpy as np
 import pytest
 
 from ripplework.llm import line_dedup as ld
 
-CUT = re.compile(r"(?<=\n)|(?<=[.!?] )")
-
-
 @pytest.mark.parametrize(
     ("a", "b", "places"),
-    [([1, 2, 3, 4], [9, 2, 3], [1, 2]), ([5, 6, 1, 2], [1, 2, 5, 6], [0, 1, 2, 3]), ([1, 1, 1], [1, 1], [0, 1]), ([], [1], []), ([1], [], []), ([7, 1, 8], [9, 1, 9], [1]), ([1, 2, 3], [1, 2, 3], [0, 1, 2])],
+    [([1, 2, 3, 4], [9, 2, 3], {1, 2}), ([5, 6, 1, 2], [1, 2, 5, 6], {0, 1, 2, 3}), ([1, 1, 1], [1, 1], {0, 1, 2}), ([], [1], set()), ([1], [], set()), ([7, 1, 8], [9, 1, 9], {1}), ([1, 2, 3], [1, 2, 3], {0, 1, 2})],
 )
 def test_alignment(a, b, places):
-    assert ld.aligned(a, b, [40] * len(a), 30) == places
+    side = lambda x: (list(range(len(x))), x, [40] * len(x))
+    assert ld.common_blocks(side(a), side(b), 30) == places
+
+
+def test_blocks_are_in_a_row_in_both():
+    side = lambda places, x: (places, x, [8] * len(x))
+    assert ld.common_blocks(side([0, 1, 2], [1, 2, 3]), side([0, 1, 2], [1, 2, 3]), 20) == {0, 1, 2}
+    assert ld.common_blocks(side([0, 1, 2], [1, 2, 3]), side([0, 2, 4], [1, 2, 3]), 20) == set()
+    assert ld.common_blocks(side([0, 2, 4], [1, 2, 3]), side([0, 1, 2], [1, 2, 3]), 20) == set()
+    r = random.Random(4)
+    for _ in range(500):
+        a, b = ([r.randint(1, 4) for _ in range(r.randint(0, 12))] for _ in range(2))
+        size = {1: 1, 2: 2, 3: 3, 4: 9}
+        got = ld.common_blocks((list(range(len(a))), a, [size[x] for x in a]), (list(range(len(b))), b, [size[x] for x in b]), 9)
+        assert got == in_blocks(a, b, [size[x] for x in a], 9)
+
+
+def in_blocks(a, b, words, block_words):
+    """Places of a in runs of at least block_words words that b has, by trying all pairs of places."""
+    out = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            k = n = 0
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                n += words[i + k]
+                k += 1
+            if n >= block_words:
+                out.update(range(i, i + k))
+    return out
 
 
 def test_alignment_is_a_common_order():
@@ -25,22 +50,50 @@ def test_alignment_is_a_common_order():
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
 
 
-def test_runs_need_words_and_bridge_blank_lines():
-    assert ld.runs([0, 1, 3], [15, 10, 5, 30], 20) == [0, 1, 3]
-    assert ld.runs([0, 2], [15, 0, 10], 20) == [0, 1, 2]
-    assert ld.runs([0], [10, 0, 0], 5) == [0]
-    assert ld.runs([0, 2], [15, 1, 15], 20) == []
+def test_lines():
+    text = 'One two. "Three!" Four?) Five…\nSix.Seven。Eight！Nine'.encode()
+    assert ld.lines_of(text) == [x.encode() for x in ("One two. ", '"Three!" ', "Four?) ", "Five…\n", "Six.Seven。", "Eight！", "Nine")]
+    r = random.Random(8)
+    words = [f"w{r.randint(0, 9000)}" for _ in range(400)]
+    parts = [" ".join(x).encode() for x in (words, [*["q"] * 50, *words[100:300], *["r"] * 50])]
+    cut = [ld.lines_of(x) for x in parts]
+    assert [b"".join(x) for x in cut] == parts and all(len(x) > 10 for x in cut)
+    shared = {x.strip() for x in cut[0]} & {x.strip() for x in cut[1]}
+    assert sum(len(x.split()) for x in shared) > 150
+
+
+def test_runs():
+    r = random.Random(6)
+    for _ in range(200):
+        words = [r.randint(1, 9) for _ in range(r.randint(0, 20))]
+        want = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if sum(words[i:j]) >= 12 and (sum(words[i : j - 1]) < 12 or sum(words[i + 1 : j]) < 12)}
+        starts, ends = ld.runs_of(np.array(words, np.int32), 12)
+        assert set(zip(starts.tolist(), ends.tolist(), strict=True)) == want
 
 
 def simple(rows, block_words):
-    """What goes, found by looking every line up in all earlier documents."""
+    """What goes, by comparing each document with every earlier one."""
     out = []
+    split = lambda t: ld.lines_of((t or "").encode())
+    full = lambda t: [x.split() for x in split(t) if x.split()]
+    order = lambda d: ld.FIRST if d is None else d
     for doc_id, text in rows:
-        earlier = {x.strip(" \t\n\x0b\x0c\r") for d, t in rows for x in CUT.split(t or "") if ld.FIRST <= (ld.FIRST if d is None else d) < (ld.FIRST if doc_id is None else doc_id)}
-        lines = CUT.split(text or "")
-        hit = [i for i, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r") in earlier and x.strip()]
-        gone = set(ld.runs(hit, [len(x.split()) for x in lines], block_words))
-        out.append((doc_id, None if text is None else "".join(x for i, x in enumerate(lines) if i not in gone)))
+        own = full(text)
+        gone = set()
+        for d, t in rows:
+            if order(d) < order(doc_id):
+                gone |= in_blocks(own, full(t), [len(x) for x in own], block_words)
+        keep, at, lines = [], -1, split(text)
+        places = []
+        for x in lines:
+            at += bool(x.split())
+            places.append(at if x.split() else None)
+        for i, x in enumerate(lines):
+            before = next((p for p in reversed(places[:i]) if p is not None), -1)
+            lost = places[i] in gone if places[i] is not None else before in gone and before + 1 in gone
+            if not lost:
+                keep.append(x)
+        out.append((doc_id, None if text is None else b"".join(keep).decode()))
     return out
 
 
@@ -84,15 +137,33 @@ def test_passages_of_short_lines(spark):
     assert got[20] == got[21] == "" and verse not in got[4] and got[0] == rows[0][1] and got[22] == rows[-1][1]
 
 
-def test_shared_stretches(spark):
-    assert spark.range(1).selectExpr("xxhash64('') AS x").first().x == ld.BLANK
-    r = random.Random(4)
-    for _ in range(500):
-        a, b = ([r.randint(1, 4) for _ in range(r.randint(0, 12))] for _ in range(2))
-        words = [{1: 1, 2: 2, 3: 3, 4: 9}[x] for x in a]
-        runs = [(i, j) for i in range(len(a)) for j in range(i + 1, len(a) + 1) if sum(words[i:j]) >= 9 and any(a[i:j] == b[k : k + j - i] for k in range(len(b)))]
-        assert ld.shared_stretches(a, b, words, 9) == {k for i, j in runs for k in range(i, j)}
-    assert ld.places_of([5, 1, 2, 6, 1, 2], [1, 2, 7, 1, 2, 8, 9], [9] * 6, 18) == [1, 2, 4, 5]
+def test_sentences_of_several_documents_are_no_block(spark):
+    r = random.Random(7)
+    three = [sentence(r, 8) for _ in range(3)]
+    far = lambda x: f"{sentence(r, 30)} {x} {sentence(r, 30)}"
+    rows = [(i, far(x)) for i, x in enumerate(three)] + [(3, " ".join([sentence(r, 9) for _ in range(9)])), (9, far(" ".join(three))), (10, far(" ".join(three)))]
+    got = {x.doc_id: x for x in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: x.text for d, x in got.items()} == dict(simple(rows, 20))
+    assert got[9].words_removed == 0 and got[10].words_removed == 24
+
+
+@pytest.mark.parametrize(("hot", "rare"), [(1 << 11, 4), (4, 4), (4, 0), (1 << 11, 100)])
+def test_hot_and_rare_anchors_change_nothing(spark, monkeypatch, hot, rare):
+    monkeypatch.setattr(ld, "HOT", hot)
+    r = random.Random(9)
+    passages = [" ".join(sentence(r, r.randint(3, 14)) for _ in range(4)) for _ in range(12)]
+    rows = []
+    for i in range(80):
+        rows.append((r.randint(0, 60) if i % 9 else None, "\n".join(r.choice(passages) if r.random() < 0.6 else sentence(r, r.randint(2, 30)) for _ in range(r.randint(1, 9)))))
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    got = sorted((x.doc_id is not None, x.doc_id or 0, x.text) for x in ld.dedup_lines(docs, rare=rare).collect())
+    assert got == sorted((d is not None, d or 0, t) for d, t in simple(rows + rows[:5], 20))
+
+
+def test_whole_table(spark, sf_dir):
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = {x.doc_id: x.text for x in ld.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert got == dict(simple(rows, 20))
 
 
 def test_same_id_and_empty_table(spark):
