@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from ripplework.llm import decontamination
@@ -24,7 +25,7 @@ def brute(docs, items, width):
     return out
 
 
-def check(spark, docs, items, width=10, limit=1 << 19):
+def check(spark, docs, items, width=10, limit=decontamination.LIMIT):
     d = spark.createDataFrame([(*x, "z", 7) for x in docs], "doc_id long, text string, item_id string, n_words int")
     b = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")
     got = decontamination.find_contamination(d, b, width, limit).collect()
@@ -42,6 +43,18 @@ def test_windows_short_items_ties_and_offsets(spark):
     check(spark, docs, [], width=10)
 
 
+def test_null_item_ids(spark):
+    long = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, long), (2, "no such words"), (None, long), (1, long), (1, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, long), (None, long), (None, "such"), (4, "w3")], "item_id long, text string")
+    for limit in (decontamination.LIMIT, 30):
+        got = decontamination.digest(decontamination.find_contamination(docs, items, 10, limit)).collect()
+        found = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256[:6]) for r in got)
+        two, none = hashlib.sha256(b"4,5").hexdigest()[:6], hashlib.sha256(b"").hexdigest()[:6]
+        assert found == [(False, 0, 12, 12, 3, two), (True, 1, 1, 0, 0, none), (True, 1, 12, 12, 3, two), (True, 1, 12, 12, 3, two), (True, 2, 3, 1, 1, none)]
+        assert [r.text for r in decontamination.clean(docs, items, 10, limit).collect()] == ["x"]
+
+
 def test_empty_tables(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_contamination(d, b).collect() == []
