@@ -12,7 +12,7 @@ its documents, all whole, `bits` (the number of bits), `checkpoints` (the bit of
 `payload` (the codes, most significant bit first, padded to bytes). A block needs only the code to be decoded,
 and a reader of a single document starts at the last checkpoint before it.
 
-Documents with a null doc_id come first, equal doc_ids in order of their ids. Null text is empty: the end id
+Documents with a null doc_id come first, equal doc_ids in order of a hash of their ids, and may lie in several shards. Null text is empty: the end id
 alone. Further columns are ignored. An empty table gives an empty dataset.
 """
 
@@ -204,7 +204,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, limit: in
         counts[r.id] = r.n
     lengths = code_lengths(counts, limit)
     shards = max(1, tokens.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    tie = F.xxhash64("ids")  # rows that share a doc_id may be many: the hash deals them too, and bounds of ranges stay short
+    ordered = tokens.repartitionByRange(shards, "doc_id", tie).sortWithinPartitions("doc_id", tie, "ids")
     ordered.mapInArrow(_write(lengths, every, block_ids), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()), limit, every)], "lengths binary, limit int, every int").coalesce(1).write.parquet(f"{path}/code")
     common.discard(spark, staged)
