@@ -6,24 +6,25 @@ than LONG words is cut further, after words that a hash chooses, so that a passa
 every document. Lines are compared by a 64-bit hash of their bytes without the blanks around; lines without words
 are passed over.
 
-1. An anchor is a run of lines in a row that just reaches `block_words` words, from a line on or up to one, known by
-   one hash. Each line of a block of `block_words` words or more that two documents share is in an anchor that lies
-   in the block, so that they share it too.
-2. Rare anchors, which at most `rare` runs in all documents are, propose every pair of their documents. The rest,
-   however frequent, is dealt with exactly and at a linear cost: each document that has the anchor is paired with the
-   first that has it (smallest doc_id). So no line of a shared block is lost.
-3. Each pair is aligned by patience diff, over the lines of its shared anchors: lines that occur once in both are
-   matched in the longest common order, and what lies between two matches is aligned in the same way. Matches that
+1. An anchor is a line joined with the next ones that it takes to have `block_words` words, known by one hash. A block
+   of `block_words` words or more that two documents share begins with an anchor that they share, and so does each
+   line of it, up to the last ones, of fewer words than that together.
+2. Each document that has an anchor is paired with the first one that has it (smallest doc_id). A rare anchor, of two
+   documents, so proposes the pair of these; a frequent one, of n, proposes n - 1 pairs instead of all, and none
+   is too frequent to count. The last lines of a block, of fewer than `block_words` words together, are looked for in
+   the first document that has the anchor before them.
+3. Each pair is aligned by patience diff, over the lines that their shared anchors reach: lines that occur once in both
+   are matched in the longest common order, and what lies between two matches is aligned in the same way. Matches that
    follow each other in both documents form a block; blocks of at least `block_words` words count. What is left is
    aligned again, for blocks in another order, until none is found; stretches of `block_words` words that stand
    several times in the later document are found by looking up all of the earlier one's.
 4. The lines of a later document's blocks, each measured within its own pair, are united and go. Blank lines between
    two lines that go, go with them. The rest of the text stays as it is, byte for byte.
 
-Pairs carry only lines that they share, so a long document with many partners isn't repeated whole. Anchors that more
-than one in HOT of all runs are can't be more than HOT; they are broadcast, and the others are joined, so no task gets
-all rows of a hot anchor. Texts meet their removals once, in a join that doesn't sort them. A text that is a copy of
-an earlier one is emptied.
+Pairs carry only those lines of the later document that its anchors reach, so a long document with many partners isn't
+repeated whole; an earlier one is looked up by the lines of the later. Anchors that more than one in HOT of all lines
+begin can't be more than HOT; they are broadcast, and the others are joined, so no task gets all rows of a hot anchor.
+Texts meet their removals once, in a join that doesn't sort them. A text that is a copy of an earlier one is emptied.
 
 Null text is empty and stays null. Null doc_id counts as the smallest. Rows that share a doc_id are one document
 for the order and don't lose lines to each other; each has its own text shortened. Very long texts are cut and aligned
@@ -47,39 +48,75 @@ from ripplework.llm import common
 
 FIRST = -(1 << 63)
 BLANK = b" \t\n\x0b\x0c\r"
-#: Ends of lines: a line break; a sentence's end with the quotation marks and brackets after it, and a blank; full-width ends.
-END = re.compile(rb"\n|[.!?](?:[\"')\]]|\xe2\x80[\x99\x9d]|\xc2\xbb)* |\xe3\x80\x82|\xef\xbc[\x81\x9f]")
+#: A sentence's end and the quotation marks and brackets after it.
+CLOSED = re.compile(rb"[.!?](?:[\"')\]]|\xe2\x80[\x99\x9d]|\xc2\xbb)+\Z")
 #: Words of a line at most before it is cut by content, and one in how many words ends a part.
 LONG, STEP = 40, 8
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 HOT = 1 << 11
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 LINES = "doc long, text_hash long, hashes array<long>, words array<int>, anchors array<long>"
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[list(BLANK)] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+#: Last bytes of quotation marks and brackets that may stand between a sentence's end and the blank after it.
+_CLOSER = np.zeros(256, bool)
+_CLOSER[list(b"\"')]\x99\x9d\xbb")] = True
+
+
+class Layout:
+    """Lines of texts that are laid out one after another, a line break after each.
+
+    bounds: of lines, blank ones too; text: of each line; words: of each line; low, high: bounds of its words.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        import xxhash
+
+        self.raw = b"\n".join([*texts, b""])
+        data = np.frombuffer(self.raw, np.uint8)
+        self.starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
+        cut = np.zeros(len(data) + 1, bool)  # whether a line ends before a place
+        cut[1:] = data == 10
+        if len(data) > 3:
+            blank = data[1:] == 32
+            cut[2:] |= blank & _STOP[data[:-1]]
+            for at in np.flatnonzero(blank & _CLOSER[data[:-1]]).tolist():
+                cut[at + 2] |= CLOSED.search(self.raw, max(0, at - 40), at + 1) is not None
+            cut[3:] |= (data[:-2] == 0xE3) & (data[1:-1] == 0x80) & (data[2:] == 0x82)
+            cut[3:] |= (data[:-2] == 0xEF) & (data[1:-1] == 0xBC) & ((data[2:] == 0x81) | (data[2:] == 0x9F))
+        space = _SPACE[data]
+        begins = ~space
+        begins[1:] &= space[:-1] | cut[1:-1]
+        ends = np.zeros(len(data) + 1, bool)
+        ends[1:] = ~space
+        ends[1:-1] &= space[1:] | cut[1:-1]
+        begin, end = np.flatnonzero(begins), np.flatnonzero(ends)
+        cuts = np.flatnonzero(cut)
+        upto = np.searchsorted(begin, cuts)  # words before the end of each line
+        words = np.diff(upto, prepend=0)
+        more = []
+        for line in np.flatnonzero(words > LONG).tolist():
+            for w in range(upto[line] - words[line], upto[line] - 1):
+                if xxhash.xxh32_intdigest(self.raw[begin[w] : end[w]]) % STEP == 0:
+                    more.append(end[w])
+        if more:
+            cuts = np.sort(np.concatenate([cuts, np.array(more, np.int64)]))
+            upto = np.searchsorted(begin, cuts)
+            words = np.diff(upto, prepend=0)
+        self.bounds = np.concatenate([[0], cuts])
+        self.words = words.astype(np.int64)
+        self.text = np.searchsorted(self.starts, self.bounds[:-1], "right") - 1
+        self.low, self.high = begin[np.minimum(upto - words, len(begin) - 1)] if len(begin) else upto, end[np.maximum(upto - 1, 0)] if len(end) else upto
+
+
 def lines_of(text: bytes) -> list[bytes]:
     """The lines, with the blanks after them, so that they join to the text again."""
-    import xxhash
-
-    out, at = [], 0
-    for m in END.finditer(text):
-        out.append(text[at : m.end()])
-        at = m.end()
-    out.append(text[at:])
-    if max(map(len, out)) <= 2 * LONG:
-        return out
-    parts: list[bytes] = []
-    for line in out:
-        if len(line) <= 2 * LONG or len(line.split()) <= LONG:
-            parts.append(line)
-            continue
-        at = 0
-        for m in WORD.finditer(line):
-            if xxhash.xxh32_intdigest(m[0]) % STEP == 0:
-                parts.append(line[at : m.end()])
-                at = m.end()
-        parts.append(line[at:])
-    return parts
+    bounds = Layout([text]).bounds.tolist()
+    bounds[-1] -= 1
+    return [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False) if a < b]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -88,15 +125,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs_of(words: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of the shortest runs of lines with at least block_words words, from each line on and up to each line."""
-    n = len(words)
+def ends_of(words: np.ndarray, block_words: int) -> np.ndarray:
+    """Where the shortest run from each line that has block_words words ends (exclusive); beyond the last line if there is none."""
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    ends = np.searchsorted(total, total[:-1] + block_words)
-    starts = np.searchsorted(total, total[1:] - block_words, "right") - 1
-    on, upto = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
-    both = np.unique(np.concatenate([on * (n + 1) + ends[on], starts[upto] * (n + 1) + upto + 1]))
-    return both // (n + 1), both % (n + 1)
+    return np.searchsorted(total, total[:-1] + block_words)
 
 
 def anchors_of(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -115,66 +147,62 @@ def _sketch(block_words: int):
 
         digest = xxhash.xxh64_intdigest
         for got in batches:
-            hashes, words, anchors = [], [], []
-            for text in got.column("text").cast(pa.large_binary()).to_pylist():
-                full = [x for x in (line.strip(BLANK) for line in lines_of(text)) if x]
-                h = np.fromiter(map(digest, full), np.uint64, len(full))
-                w = np.fromiter((len(x.split()) for x in full), np.int32, len(full))
-                hashes.append(h.view(np.int64))
-                words.append(w)
-                anchors.append(anchors_of(h, *runs_of(w, block_words)).view(np.int64))
-            columns = [_lists(hashes, pa.int64()), _lists(words, pa.int32()), _lists(anchors, pa.int64())]
-            yield pa.RecordBatch.from_arrays([got.column("doc"), got.column("text_hash"), *columns], [x.split()[0] for x in LINES.split(", ")])
+            texts = got.column("text").cast(pa.binary()).to_pylist()
+            laid = Layout(texts)
+            full = np.flatnonzero(laid.words > 0)
+            words, text = laid.words[full], laid.text[full]
+            raw = memoryview(laid.raw)
+            hashes = np.fromiter((digest(raw[a:b]) for a, b in zip(laid.low[full].tolist(), laid.high[full].tolist(), strict=True)), np.uint64, len(full))
+            of_text = np.searchsorted(text, np.arange(len(texts) + 1))
+            ends = ends_of(words, block_words)
+            begun = np.flatnonzero(ends <= of_text[1:][text]) if len(full) else full
+            anchors = anchors_of(hashes, begun, ends[begun])
+            of_anchor = np.searchsorted(begun, of_text)
+            columns = [(of_text, hashes.view(np.int64)), (of_text, words.astype(np.int32)), (of_anchor, anchors.view(np.int64))]
+            lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values)) for at, values in columns]
+            yield pa.RecordBatch.from_arrays([got.column("doc"), got.column("text_hash"), *lists], [x.split()[0] for x in LINES.split(", ")])
 
     return run
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else [], kind))
-
-
 def sketch(docs: DataFrame, block_words: int) -> DataFrame:
-    """doc (the order), text_hash, hash and words of each line that has any, and the anchors (see runs_of)."""
+    """doc (the order), text_hash, hash and words of each line that has any, and the anchor of each but the last ones."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
     return keyed.mapInArrow(_sketch(block_words), LINES)
 
 
-def _limit(sketched: DataFrame) -> int:
-    """Fewer than HOT anchors are more runs than this."""
-    return (sketched.agg(F.sum(F.size("anchors"))).first()[0] or 0) // HOT + 1
-
-
-def shared_anchors(sketched: DataFrame, limit: int) -> DataFrame:
-    """doc, text_hash, anchor, first, n: anchors that at least two documents have, the first document that has each, and how many runs are it."""
+def shared_anchors(sketched: DataFrame) -> tuple[DataFrame, int]:
+    """doc, text_hash, anchor, first, n: anchors that at least two documents have, the first document that has each, and how many lines begin it. With it a bound: fewer than HOT anchors are begun by more lines."""
+    limit = (sketched.agg(F.sum(F.size("anchors"))).first()[0] or 0) // HOT + 1
     began = sketched.select("doc", "text_hash", F.explode("anchors").alias("anchor"))
     groups = began.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     groups = common.staged(groups, "anchors")
     hot = F.broadcast(groups.where(F.col("n") > limit))
     often = began.join(hot, "anchor")
     seldom = began.join(hot.select("anchor"), "anchor", "left_anti").join(groups.where(F.col("n") <= limit), "anchor")
-    return often.unionByName(seldom)
+    return often.unionByName(seldom), limit
 
 
-REACHED = "doc long, text_hash long, anchor long, first long, n long, place int, hashes array<long>, words array<int>"
+PARTS = "doc long, text_hash long, first long, first_hash long, places array<int>, hashes array<long>, words array<int>"
 
 
-def _reach(block_words: int):
-    """For each shared anchor of a document its place and lines; once if it stands there several times, but each time where the document isn't the first."""
+def _parts(block_words: int):
+    """For each document that a document is paired with, the lines that their anchors reach: up to the end of the next line's anchor, where a block that goes on ends at the latest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in REACHED.split(", ")]
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        names = [x.split()[0] for x in PARTS.split(", ")]
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         for got in batches:
             rows = []
             for doc, text_hash, hashes, words, anchors, shared in zip(*(got.column(c).to_pylist() for c in ("doc", "text_hash", "hashes", "words", "anchors", "shared")), strict=True):
-                of = {x["anchor"]: (x["first"], x["n"]) for x in shared}
-                starts, ends = runs_of(np.array(words, np.int32), block_words)
-                for anchor, a, b in zip(anchors, starts.tolist(), ends.tolist(), strict=True):
-                    if known := of.get(anchor):
-                        rows.append((doc, text_hash, anchor, *known, a, hashes[a:b], words[a:b]))
-                        if known[0] == doc:
-                            del of[anchor]
+                partner = {x["anchor"]: (x["first"], x["first_hash"]) for x in shared}
+                ends = [*np.minimum(ends_of(np.array(words, np.int32), block_words), len(words)).tolist(), len(words)]
+                reached: dict[tuple[int, int], list[int]] = {}
+                for place, anchor in enumerate(anchors):
+                    if (first := partner.get(anchor)) is not None:
+                        own = reached.setdefault(first, [])
+                        own.extend(range(max(place, own[-1] + 1 if own else 0), ends[place + 1]))
+                rows += [(doc, text_hash, *first, own, [hashes[i] for i in own], [words[i] for i in own]) for first, own in reached.items()]
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
@@ -299,67 +327,62 @@ def common_blocks(later: Side, first: Side, block_words: int) -> set[int]:
     return {places[i] for i in gone}
 
 
-def _side(rows: list[tuple[int, list[int], list[int]]]) -> Side:
-    """Lines from the stretches (place, hashes, words) that anchors reach."""
-    of: dict[int, tuple[int, int]] = {}
-    for place, hashes, words in rows:
-        of.update(zip(range(place, place + len(hashes)), zip(hashes, words, strict=True), strict=False))
-    places = sorted(of)
-    return places, [of[p][0] for p in places], [of[p][1] for p in places]
-
-
 def _align(block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, index = None, {}
         for got in batches:
             out = []
-            for rows in got.column("met").to_pylist():
-                later = _side([(x["place"], x["hashes"], x["words"]) for x in rows])
-                first = _side([(x["b_place"], x["b_hashes"], x["b_words"]) for x in rows])
-                out.append(sorted(common_blocks(later, first, block_words)))
+            whole = got.column("first_lines")
+            for i, (first, first_hash, places, hashes, words) in enumerate(zip(*(got.column(c).to_pylist() for c in ("first", "first_hash", "places", "hashes", "words")), strict=True)):
+                if known != (first, first_hash):
+                    known, index = (first, first_hash), {}
+                    for j, x in enumerate(whole[i].as_py()):
+                        index.setdefault(x, []).append(j)
+                size = dict(zip(hashes, words, strict=True))
+                there = sorted((j, x) for x in size for j in index.get(x, ()))
+                found = common_blocks((places, hashes, words), ([j for j, _ in there], [x for _, x in there], [size[x] for _, x in there]), block_words)
+                out.append(sorted(found))
             yield pa.RecordBatch.from_arrays([got.column("doc"), got.column("text_hash"), pa.array(out, pa.list_(pa.int32()))], ["doc", "text_hash", "places"])
 
     return run
 
 
-def removals(docs: DataFrame, block_words: int, rare: int) -> DataFrame:
+def removals(docs: DataFrame, block_words: int) -> DataFrame:
     """doc, text_hash and the lines with words (places among them) to remove, for documents that lose any."""
-    common.bound_batches(docs.sparkSession)
+    spark, key = docs.sparkSession, ["doc", "text_hash"]
+    common.bound_batches(spark)
     sketched = common.staged(sketch(docs, block_words), "lines")
-    limit, key = _limit(sketched), ["doc", "text_hash"]
-    own = shared_anchors(sketched, limit).groupBy(*key).agg(F.collect_set(F.struct("anchor", "first", "n")).alias("shared"))  # of one text
-    reached = own.join(sketched, key).mapInArrow(_reach(block_words), REACHED)
-    reached = common.staged(reached.dropDuplicates([*key, "place", "anchor"]), "reached")  # repeated rows
-    later = reached.where("doc <> first").drop("first")
-    holders = reached.where((F.col("n") <= rare) | (F.col("doc") == F.col("first"))).dropDuplicates(["anchor", "doc"])
-    holders = holders.select("anchor", F.col("n").alias("b_n"), F.col("doc").alias("b_doc"), F.col("text_hash").alias("b_hash"), F.col("place").alias("b_place"), F.col("hashes").alias("b_hashes"), F.col("words").alias("b_words"))
-    often = later.where(F.col("n") > limit).join(F.broadcast(holders.where(F.col("b_n") > limit)), "anchor")  # at most `rare` of each
-    seldom = later.where(F.col("n") <= limit).join(holders.where(F.col("b_n") <= limit), "anchor")
-    met = often.unionByName(seldom).where("b_doc < doc")
-    pairs = met.groupBy(*key, "b_doc", "b_hash").agg(F.collect_list(F.struct("place", "hashes", "words", "b_place", "b_hashes", "b_words")).alias("met"))
-    found = pairs.mapInArrow(_align(block_words), "doc long, text_hash long, places array<int>")
+    shared, limit = shared_anchors(sketched)
+    shared = common.staged(shared, "shared")
+    firsts = shared.where("doc = first").groupBy("anchor").agg(F.min("text_hash").alias("first_hash"), F.first("n").alias("many"))
+    later = shared.where("doc <> first")
+    often = later.where(F.col("n") > limit).join(F.broadcast(firsts.where(F.col("many") > limit)), "anchor")
+    seldom = later.where(F.col("n") <= limit).join(firsts.where(F.col("many") <= limit), "anchor")
+    own = often.unionByName(seldom).groupBy(*key).agg(F.collect_set(F.struct("anchor", "first", "first_hash")).alias("shared"))  # of one text
+    parts = own.join(sketched, key).mapInArrow(_parts(block_words), PARTS)
+    first = sketched.select(F.col("doc").alias("first"), F.col("text_hash").alias("first_hash"), F.col("hashes").alias("first_lines"))
+    found = parts.join(first, ["first", "first_hash"]).mapInArrow(_align(block_words), "doc long, text_hash long, places array<int>")
     return found.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places")).where(F.size("places") > 0)
 
 
-def shortened(text: bytes, gone: list[int]) -> tuple[bytes, int, int]:
-    """The text without the lines with words at these places and the blank lines between two of them; how many lines and words went."""
-    lost, lines, words, kept = set(gone), 0, 0, []
-    at, blanks = -1, []
-    for line in lines_of(text):
-        n = len(line.split())
-        if not n:
-            blanks.append(line)
-            continue
-        at += 1
-        if at in lost:
-            if at - 1 in lost:
-                lines += len(blanks)
-            else:
-                kept += blanks
-            lines, words = lines + 1, words + n
-        else:
-            kept += [*blanks, line]
-        blanks = []
-    return b"".join([*kept, *blanks]), lines, words
+def shortened(texts: list[bytes], gone: list[list[int]]) -> list[tuple[bytes, int, int]]:
+    """Each text without the lines with words at its places, and the blank lines between two of them; how many lines and words went."""
+    laid = Layout(texts)
+    out = []
+    of_text = np.searchsorted(laid.text, np.arange(len(texts) + 1))
+    for k, places in enumerate(gone):
+        a, b = of_text[k], of_text[k + 1]
+        full = laid.words[a:b] > 0
+        at = np.cumsum(full) - 1  # the line with words at or before each line
+        lost = np.zeros(int(full.sum()) + 2, bool)
+        lost[places] = True
+        go = np.where(full, lost[at], (at >= 0) & lost[at] & lost[at + 1])
+        bounds = laid.bounds[a : b + 1]
+        left = b"".join(laid.raw[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(~go).tolist())
+        if not go[-1]:
+            left = left[:-1]  # the line break that Layout puts after a text
+        out.append((left, int(go.sum()), int(laid.words[a:b][go].sum())))
+    return out
 
 
 def _shorten(names: list[str]):
@@ -369,19 +392,18 @@ def _shorten(names: list[str]):
         for got in batches:
             texts, places = got.column(at).to_pylist(), got.column(len(names)).to_pylist()
             lost_lines, lost_words = [0] * len(texts), [0] * len(texts)
-            for k, (text, hit) in enumerate(zip(texts, places, strict=True)):
-                if text and hit:
-                    left, lost_lines[k], lost_words[k] = shortened(text.encode("utf-8", "surrogatepass"), hit)
-                    texts[k] = left.decode("utf-8", "surrogatepass")
+            hit = [k for k, (text, own) in enumerate(zip(texts, places, strict=True)) if text and own]
+            for k, (left, lines, words) in zip(hit, shortened([texts[k].encode("utf-8", "surrogatepass") for k in hit], [places[k] for k in hit]), strict=True):
+                texts[k], lost_lines[k], lost_words[k] = left.decode("utf-8", "surrogatepass"), lines, words
             columns = [*got.columns[:at], pa.array(texts, got.column(at).type), *got.columns[at + 1 : len(names)], pa.array(lost_lines, pa.int64()), pa.array(lost_words, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lines_removed", "words_removed"])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, block_words: int = 20, rare: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, block_words: int = 20) -> DataFrame:
     """docs (doc_id, text, and others, which stay) with repeated passages removed from later texts, and lines_removed and words_removed."""
-    gone = removals(docs, block_words, rare)
+    gone = removals(docs, block_words)
     kept = [f for f in docs.schema.fields if f.name not in ("lines_removed", "words_removed")]
     keyed = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce("doc_id", F.lit(FIRST)).alias("_rw_doc"), F.xxhash64("text").alias("_rw_hash"))
     gone = gone.select(F.col("doc").alias("_rw_doc"), F.col("text_hash").alias("_rw_hash"), F.col("places").alias("_rw_places")).hint("shuffle_hash")
