@@ -1,3 +1,7 @@
+import re
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from ripplework.llm import html_text
@@ -63,3 +67,77 @@ def test_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     assert html_text.extract_text(pages).count() == pages.count()
     assert html_text.extract_text(pages.limit(0)).collect() == []
+
+
+class Walk(HTMLParser):
+    """All character data outside of elements that show none: a page's words, without layout."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.unseen = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if self.unseen:
+            self.unseen += [tag] if tag == self.unseen[0] else []
+        elif tag not in html_text.VOID and (tag in html_text.UNSEEN or "hidden" in a or a.get("aria-hidden") == "true" or html_text.HIDDEN_STYLE.search(a.get("style", ""))):
+            self.unseen = [tag]
+        elif tag == "img":
+            self.words += a.get("alt", "").split()
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.unseen and tag == self.unseen[0]:
+            self.unseen.pop()
+
+    def handle_data(self, data):
+        if not self.unseen:
+            self.words.append(data)
+
+
+def plain(text):
+    """Words without the marks of lists."""
+    return [w for w in text.split() if not re.fullmatch(r"-|\d+\.", w)]
+
+
+def test_same_words_as_a_plain_walk(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    for r in pages.collect():
+        walk = Walk()
+        walk.feed(r.html or "")
+        walk.close()
+        assert "".join(plain(got[r.page_id])) == "".join(plain(" ".join(walk.words))), r.page_id
+
+
+def test_text_in_tables_outside_of_cells():
+    assert html_text.page_text("<table><tr>lost<td>x</td><p>para</p></table>").split() == ["lost", "para", "x"]
+    assert html_text.page_text("<table><tbody>txt<tr><td>x<tr><div>inner</div></table>").split() == ["txt", "inner", "x"]
+    assert html_text.page_text("<table><td>deep " * 300 + "<table><td>a<td>b<tr><td>c").split() == ["deep"] * 300 + ["a", "b", "c"]
+
+
+def test_wide_cells_and_spans():
+    wide = "w" * 500
+    assert html_text.page_text(f"<table><tr><td>a<td>b<tr><td>{wide}<td>c<tr><td>ab<td>d</table>") == f"a   b\n{wide}  c\nab  d"
+    assert html_text.page_text("<table><tr><td>a<td>b<td>c<tr><td colspan=2>long text<td>d<tr><td colspan=1000>e<td>f</table>").split("\n")[:2] == ["a  b  c", "long text  d"]
+
+
+def test_unfinished_markup():
+    assert html_text.page_text('a <a title="x>link</a> <b title=\'y>z') == "a link z"
+    assert html_text.page_text("a <b") == "a <b" and html_text.page_text("a <!-- b") == "a" and html_text.page_text("a < b <3 c </") == "a < b <3 c </"
+    assert html_text.page_text("<p it's>text</p x='>'> more") == "text\nmore" or html_text.page_text("<p it's>text</p x='>'> more") == "text\n\nmore"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [lambda n: "<a " * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "<div>" + "<b>" * n + "<hr>" * n, lambda n: "<b>" * n + "<li>x" * n, lambda n: "<table><td>" * n + "x", lambda n: "<i><table><td>" + "<b>" * n + "</i>" * n, lambda n: "<p>" + "word " * n, lambda n: "<" * n, lambda n: "<table>" + "<tr><td colspan=1000>x<td>y" * n],
+)
+def test_time_in_proportion(page):
+    def seconds(n):
+        began = time.process_time()
+        html_text.page_text(page(n))
+        return time.process_time() - began
+
+    assert seconds(32_000) < 12 * max(seconds(8000), 0.02)
