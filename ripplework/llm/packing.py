@@ -3,17 +3,20 @@
 Each partition packs its own documents in blocks of bounded size, so nothing is shuffled and a lost
 executor's partition is simply packed again. Within a block:
 
-1. A block ends where its ids nearly fill its windows. A document of `length` ids or more gives whole sequences; what is left of it, and every shorter
-   document, is cut into items of at most `item` ids (small items balance well).
+1. A block ends where its ids nearly fill its windows. A document of `length` ids or more gives whole sequences; what
+   is left of it, and every shorter document, is one item.
 2. The last block of a partition first moves its odd remainder into sequences of power-of-two lengths,
    which need no padding, so that the rest nearly fills whole windows.
 3. The items go into as few windows as leave a little room in each. Every item starts as a partial partition of its own.
    The two partial partitions whose sums differ most are merged, the largest sums of one with the
-   smallest of the other, until one is left, whose sums are nearly equal. If a window then exceeds
-   `length`, the window count rises by one and the block is divided again.
+   smallest of the other, until one is left, whose sums are nearly equal.
+4. What a window has beyond `length` ids, `excess` at most, is cut off its largest items and put where there is room:
+   only so much is cut as differencing couldn't balance. If a window exceeds `length` by more, or all together by more
+   than half of the others' room, the window count rises by one and the block is divided again.
 
 Null text is an empty text: one piece of the end id alone. Repeated rows are packed once each. doc_id may be
-null. Further columns are ignored. An empty table gives no rows.
+null. Ties are told apart by the order of rows in a partition. A very long text is many whole sequences, and its ids
+are held while they are placed. Further columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -78,21 +81,52 @@ def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def fitted(sizes: np.ndarray, length: int, room: int) -> list[list[int]]:
-    """Windows of at most `length`, `room` below it on average at first; one more whenever a window exceeds it."""
+def fitted(sizes: np.ndarray, length: int, room: int, excess: int = 0) -> list[list[int]]:
+    """Windows, `room` below `length` on average at first, of at most `length`; of `excess` more where the others have twice the room for that."""
     k = max(1, -(-int(sizes.sum()) // (length - room)))
     while True:
         windows = differencing(sizes, k)
-        if all(sizes[w].sum() <= length for w in windows):
+        sums = np.array([sizes[w].sum() for w in windows], np.int64)
+        over, free = np.maximum(sums - length, 0), np.maximum(length - sums, 0)
+        if over.max(initial=0) <= excess and 2 * over.sum() <= free.sum():
             return [w for w in windows if w]
         k += 1
 
 
+def evened(sizes: np.ndarray, groups: list[list[int]], length: int) -> list[list[tuple[int, int, int]]]:
+    """The windows as pieces (item, start, size): what exceeds `length` is cut off a window's largest pieces and put where most is free."""
+    windows = [[(i, 0, int(sizes[i])) for i in w] for w in groups]
+    sums = np.array([sizes[w].sum() for w in groups], np.int64)
+    over, free = np.maximum(sums - length, 0), np.maximum(length - sums, 0)
+    moved: list[tuple[int, int, int]] = []
+    for w in np.flatnonzero(over).tolist():
+        rest = int(over[w])
+        while rest:
+            at = max(range(len(windows[w])), key=lambda x: windows[w][x][2])  # noqa: B023
+            item, start, size = windows[w].pop(at)
+            cut = min(rest, size)
+            if size > cut:
+                windows[w].insert(at, (item, start, size - cut))
+            moved.append((item, start + size - cut, cut))
+            rest -= cut
+    heap = [(-f, w) for w, f in enumerate(free.tolist()) if f]
+    heapq.heapify(heap)
+    for item, start, size in sorted(moved, key=lambda x: -x[2]):
+        while size:
+            f, w = heapq.heappop(heap)
+            here = min(size, -f)
+            windows[w].append((item, start, here))
+            start, size = start + here, size - here
+            if f + here:
+                heapq.heappush(heap, (f + here, w))
+    return [sorted(w) for w in windows if w]
+
+
 class Packer:
     """Takes documents one by one and yields (document, start, length, sequence, offset, sequence_tokens), block by block."""
 
     def __init__(self, length: int, item: int, windows: int):
-        self.length, self.item = length, item
+        self.length, self.item, self.excess = length, item, max(1, length // 8)
         self.room = max(1, length // 200)  # ids that a window may stay short of the length, so that differencing can balance
         self.most = (length - self.room) * windows
         self.items: list[tuple] = []  # document, start, length
@@ -121,10 +155,12 @@ class Packer:
             self.items, self.tokens = over, sum(p[2] for p in over)
 
     def _block(self, items: list[tuple]) -> Iterator[tuple]:
-        for window in fitted(np.array([p[2] for p in items], np.int64), self.length, self.room):
+        sizes = np.array([p[2] for p in items], np.int64)
+        for window in evened(sizes, fitted(sizes, self.length, self.room, self.excess), self.length):
             # pieces of a document that meet in a window, end to start, are one piece again
             pieces: list[tuple] = []
-            for doc, start, size in (items[i] for i in window):
+            for i, within, size in window:
+                doc, start = items[i][0], items[i][1] + within
                 if pieces and pieces[-1][0] is doc and pieces[-1][1] + pieces[-1][2] == start:
                     pieces[-1] = (doc, pieces[-1][1], pieces[-1][2] + size)
                 else:
@@ -190,14 +226,14 @@ def _tasks(tokenizer: str, end_id: int, length: int, item: int, windows: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, item: int = 512, windows: int = 512) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, item: int | None = None, windows: int = 512) -> DataFrame:
     """Pieces of packed sequences, with their ids as little-endian unsigned 32-bit integers.
 
-    docs: doc_id, text. length: ids of a sequence; item: ids that a part has at most before it is placed;
-    windows: sequences that are balanced together.
+    docs: doc_id, text. length: ids of a sequence; item: ids that a part has at most before it is placed, all that
+    don't fill a sequence by default; windows: sequences that are balanced together.
     """
     common.bound_batches(docs.sparkSession)
-    return common.texts(docs).mapInArrow(_tasks(tokenizer, end_id, length, item, windows), SCHEMA)
+    return common.texts(docs).mapInArrow(_tasks(tokenizer, end_id, length, item or length, windows), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
