@@ -1,8 +1,10 @@
 """Personal data, in DataFrame functions alone.
 
 Regular expressions propose spans, checksums and other validators confirm them (Luhn for card numbers, mod-97
-for bank accounts), and words nearby adjust a confirmed span's score. Base kinds (email, ip, card, phone) stay
-whatever their score; the further kinds (iban, ssn, secret) need a score of at least `threshold`.
+for bank accounts), and words nearby adjust a confirmed span's score: those up to `window` characters before it, a
+match of the kind directly before it and what stands before that included, and half as many after it. Base kinds
+(email, ip, card, phone) stay whatever their score; the further kinds (iban, ssn, secret, jwt, key) need a score of
+at least `threshold`.
 
 Everything happens within a row, without a shuffle. A text is split at a kind's matches; running sums of the
 lengths of the pieces, by doubling strides, give the places of m matches in m log m steps. The expressions
@@ -95,8 +97,10 @@ KINDS = (
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", _phone, 0.6, "phone|tel|call|mobile|fax|contact", 0.3, True),
     Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\\x20[A-Z0-9]{4}){2,7}(?:\\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", _iban, 0.8, "iban|bank|account|konto|cuenta|compte", 0.2, False),
-    Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn, 0.3, "ssn|social|security", 0.5, False),
+    Kind("ssn", "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", _ssn, 0.3, "ssn|social|security", 0.5, False),
     Kind("secret", "(?<![A-Za-z0-9])[0-9A-Za-z_-]{24,}+(?![A-Za-z0-9])", _secret, 0.2, "token|secret|passw|api.?key|\\bkey\\b|bearer|credential", 0.6, False),
+    Kind("jwt", "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+", None, 0.8, "token|bearer|authori[sz]ation", 0.2, False),
+    Kind("key", "-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[^-]*+(?:-{1,2}[^-]++){0,8}+(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----)?", None, 0.9, "key", 0.1, False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
@@ -116,7 +120,8 @@ def find(text: Column, kind: Kind, threshold: float, window: int = 40) -> Column
 
     def scored(hits: Column, gaps: Column, ends: Column) -> Column:
         def one(h: Column, i: Column) -> Column:
-            near = F.lower(F.concat(F.right(F.get(gaps, i), F.lit(window)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(window // 2))))
+            earlier = F.concat(F.right(F.coalesce(F.get(gaps, i - 1), F.lit("")), F.lit(window)), F.coalesce(F.get(hits, i - 1), F.lit("")), F.right(F.get(gaps, i), F.lit(window)))
+            near = F.lower(F.concat(F.when(i > 0, F.right(earlier, F.lit(window))).otherwise(F.right(F.get(gaps, i), F.lit(window))), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(window // 2))))
             score = F.lit(kind.score) + F.when(near.rlike(kind.context), kind.raised).otherwise(0.0)
             sure = kind.confirm(h) if kind.confirm else F.lit(True)
             return F.struct(F.lit(kind.name).alias("kind"), (F.get(ends, i) - F.char_length(h)).alias("start"), F.get(ends, i).alias("end"), F.when(sure, F.least(score, F.lit(1.0))).otherwise(-1.0).alias("score"))
@@ -136,5 +141,6 @@ def digest(found: DataFrame) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
     kinds = F.transform("pii", lambda s: s["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    count = lambda k: (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}")
+    more = [count(k.name) for k in KINDS if not k.base]
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), *more, F.size("pii").cast("long").alias("n_spans"))
