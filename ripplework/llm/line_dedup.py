@@ -385,7 +385,7 @@ def shortened(texts: list[bytes], gone: list[list[int]]) -> list[tuple[bytes, in
     return out
 
 
-def _shorten(names: list[str]):
+def _shorten(names: list[str], counts: tuple[str, str]):
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,17 +396,17 @@ def _shorten(names: list[str]):
             for k, (left, lines, words) in zip(hit, shortened([texts[k].encode("utf-8", "surrogatepass") for k in hit], [places[k] for k in hit]), strict=True):
                 texts[k], lost_lines[k], lost_words[k] = left.decode("utf-8", "surrogatepass"), lines, words
             columns = [*got.columns[:at], pa.array(texts, got.column(at).type), *got.columns[at + 1 : len(names)], pa.array(lost_lines, pa.int64()), pa.array(lost_words, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lines_removed", "words_removed"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, *counts])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, block_words: int = 20) -> DataFrame:
-    """docs (doc_id, text, and others, which stay) with repeated passages removed from later texts, and lines_removed and words_removed."""
+def dedup_lines(docs: DataFrame, block_words: int = 20, counts: tuple[str, str] = ("lines_removed", "words_removed")) -> DataFrame:
+    """docs (doc_id, text, and others, which stay) with repeated passages removed from later texts, and how many lines and words that were (in place of columns of those names)."""
     gone = removals(docs, block_words)
-    kept = [f for f in docs.schema.fields if f.name not in ("lines_removed", "words_removed")]
+    kept = [f for f in docs.schema.fields if f.name not in counts]
     keyed = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce("doc_id", F.lit(FIRST)).alias("_rw_doc"), F.xxhash64("text").alias("_rw_hash"))
     gone = gone.select(F.col("doc").alias("_rw_doc"), F.col("text_hash").alias("_rw_hash"), F.col("places").alias("_rw_places")).hint("shuffle_hash")
     joined = keyed.join(gone, ["_rw_doc", "_rw_hash"], "left").select(*[F.col(f"`{f.name}`") for f in kept], "_rw_places")
-    out = StructType([*kept]).add("lines_removed", LongType()).add("words_removed", LongType())
-    return joined.mapInArrow(_shorten([f.name for f in kept]), out)
+    out = StructType([*kept]).add(counts[0], LongType()).add(counts[1], LongType())
+    return joined.mapInArrow(_shorten([f.name for f in kept], counts), out)

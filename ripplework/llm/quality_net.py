@@ -9,8 +9,9 @@ Filters are applied by table: the answer of a filter to a byte at each of its pl
 256 bytes, so that a position costs WIDTH table rows instead of a matrix product.
 
 Training weighs both classes the same; the share of good ones among all usable labels is then added to the
-odds. It takes a bounded sample: at most `per_class` labelled documents of each class, chosen by hash, and at
-most `chunks` chunks of each, spread evenly over the whole text. Scoring covers every byte of every text.
+odds. It takes a bounded sample of the labelled rows, at most `per_class` documents of each class, chosen by hash,
+with their whole texts; each round goes over all their bytes, in chunks that begin half a chunk later every other
+time. Scoring covers every byte of every text; a very long text's positions are held a slab at a time.
 
 Null and empty texts are scored as a chunk without bytes. A label or doc_id that is null is not trained on;
 repeated labels of a document are averaged out by training on each. Without labels of both classes every score
@@ -99,23 +100,25 @@ def score_texts(net: Net, tables: np.ndarray, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def train(chunks: np.ndarray, filled: np.ndarray, label: np.ndarray, doc: np.ndarray, epochs: int, seed: int) -> Net:
-    """Adam on the log loss of documents' chunks; each document weighs the same within its class, each class as much as the other.
+def train(chunks: np.ndarray, filled: np.ndarray, label: np.ndarray, doc: np.ndarray, epochs: int, seed: int, other: tuple | None = None) -> Net:
+    """Adam on the log loss of documents' chunks; each document weighs the same within its class, each class as much as the other. `other` chunks, with their bytes, labels and documents, are gone over every other time.
 
     A quarter of the chunks, other ones each time, are cut short, for short texts are rare among the sample.
     """
+    phases = [(chunks, filled, label, doc), other or (chunks, filled, label, doc)]
     net, r = Net.fresh(seed), np.random.default_rng(seed + 1)
-    weight = (filled + 1e-3) / np.bincount(doc, filled + 1e-3)[doc]
-    weight = weight * np.where(label == 1, 0.5 / weight[label == 1].sum(), 0.5 / weight[label == 0].sum()) * len(label)
     params = [net.embed, net.filters, net.bias, net.hidden, net.hidden_bias, net.out, net.out_bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step, size = 0, 64
     for epoch in range(epochs):
+        chunks, filled, label, doc = phases[epoch % 2]
+        weight = (filled + 1e-3) / np.bincount(doc, filled + 1e-3)[doc]
+        weight = weight * np.where(label == 1, 0.5 / weight[label == 1].sum(), 0.5 / weight[label == 0].sum()) * len(label)
         order = r.permutation(len(label))
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
         for a in range(0, len(order), size):
             pick = order[a : a + size]
-            data, full, m = chunks[pick].copy(), filled[pick].astype(np.int64), len(pick)
+            data, full, m = chunks[pick].copy(), filled[pick], len(pick)
             cut = np.where(r.random(m) < 0.25, np.minimum(full, r.integers(8, CHUNK, m)), full)
             data[np.arange(data.shape[1]) >= np.where(cut < full, cut, data.shape[1])[:, None]] = 0
             tables = net.tables()
@@ -147,28 +150,24 @@ def train(chunks: np.ndarray, filled: np.ndarray, label: np.ndarray, doc: np.nda
     return net
 
 
-def _cut(most: int):
-    """Chunks of whole texts, at most `most` of each, evenly spread."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in batches:
-            rows = []
-            for doc_id, text, label in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                last = max(0, -(-len(data) // HALF) - 2)
-                for half in np.unique(np.linspace(0, last, min(most, last + 1)).round().astype(int)).tolist():
-                    piece = data[half * HALF : half * HALF + CHUNK + WIDTH - 1]
-                    rows.append((doc_id, label, min(len(piece), CHUNK), piece))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "label", "filled", "chunk"])
-
-    return run
+def laid_out(texts: list[bytes], phase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of whole texts one after another, from `phase` on (from the start if a text has no more), each with the next WIDTH - 1 bytes; the bytes that each has, and its text."""
+    starts = [range(phase if len(t) > phase else 0, max(len(t), 1), CHUNK) for t in texts]
+    data = np.zeros((sum(map(len, starts)), CHUNK + WIDTH - 1), np.uint8)
+    filled, own, k = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64), 0
+    for i, text in enumerate(texts):
+        for at in starts[i]:
+            piece = text[at : at + CHUNK + WIDTH - 1]
+            data[k, : len(piece)] = np.frombuffer(piece, np.uint8)
+            filled[k], own[k] = min(len(piece), CHUNK), i
+            k += 1
+    return data, filled, own
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, chunks: int = 8, epochs: int = 10, seed: int = 7) -> Net | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, epochs: int = 6, seed: int = 7) -> Net | None:
     """A network that tells labels (doc_id, label 0 or 1) of docs (doc_id, text) apart; None if a class is missing.
 
-    Only the chosen labels, 2 * per_class rows, are broadcast; the driver gets 2 * per_class * chunks chunks at most.
+    Only the chosen labels, 2 * per_class rows, are broadcast; the driver gets the texts of these.
     """
     common.bound_batches(docs.sparkSession)
     chosen = None
@@ -176,38 +175,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, chunks: int =
         one = labels.where((F.col("label") == value) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
         one = one.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class)
         chosen = one if chosen is None else chosen.unionByName(one)
-    sample = common.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    got = sample.mapInArrow(_cut(chunks), "doc_id long, label int, filled int, chunk binary").toArrow().sort_by([("doc_id", "ascending")])
-    label = np.asarray(got.column("label"))
+    got = common.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True))  # the same whatever the partitions
+    label = np.array([r[1] for r in rows], np.float32)
     if len(np.unique(label)) < 2:
         return None
-    data = np.zeros((len(label), CHUNK + WIDTH - 1), np.uint8)
-    pieces = got.column("chunk").to_pylist()
-    for i, piece in enumerate(pieces):
-        data[i, : len(piece)] = np.frombuffer(piece, np.uint8)
-    order = sorted(range(len(pieces)), key=lambda i: (int(got.column("doc_id")[i].as_py()), pieces[i]))  # the same whatever the partitions
-    _, doc = np.unique(np.asarray(got.column("doc_id")), return_inverse=True)
-    net = train(data[order], np.asarray(got.column("filled"))[order], label[order].astype(np.float32), doc[order], epochs, seed)
+    texts = [r[2].encode("utf-8", "surrogatepass") for r in rows]
+    (a, a_filled, a_doc), (b, b_filled, b_doc) = (laid_out(texts, phase) for phase in (0, HALF))
+    net = train(a, a_filled, label[a_doc], a_doc, epochs, seed, (b, b_filled, label[b_doc], b_doc))
     # both classes weighed the same in training: among all labels one is the likelier
     count = {r.label: r["count"] for r in labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("label").count().collect()}
     net.out_bias += np.float32(np.clip(np.log(count[1] / count[0]), -4, 4))
     return net
 
 
-def score(docs: DataFrame, net: Net | None) -> DataFrame:
-    """docs (doc_id, text, and others, which stay) with `score`, the probability that the whole text is good."""
+def score(docs: DataFrame, net: Net | None, column: str = "score") -> DataFrame:
+    """docs (doc_id, text, and others, which stay) with a column (in place of one of that name), the probability that the whole text is good."""
     if net is None:
-        return docs.withColumn("score", F.lit(0.5))
+        return docs.withColumn(column, F.lit(0.5))
     common.bound_batches(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name != "score"]
+    kept = [f for f in docs.schema.fields if f.name != column]
     at = [f.name for f in kept].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
         for got in batches:
             values = score_texts(net, tables, [x.encode("utf-8", "surrogatepass") if x else b"" for x in got.column(at).to_pylist()]) if got.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(values, pa.float64())], [*got.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(values, pa.float64())], [*got.schema.names, column])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, StructType([*kept]).add("score", DoubleType()))
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, StructType([*kept]).add(column, DoubleType()))

@@ -30,6 +30,31 @@ def test_scores_cover_whole_texts_and_odd_rows(spark):
     assert quality_net.score(odd.limit(0), net).collect() == []
 
 
+def test_scores_against_one_chunk_at_a_time():
+    net, r = quality_net.Net.fresh(3), random.Random(2)
+    texts = [b"", b"a", bytes(r.randrange(256) for _ in range(255)), *(bytes(r.randrange(97, 123) for _ in range(r.randint(1, 3000))) for _ in range(40))]
+    for text, got in zip(texts, quality_net.score_texts(net, net.tables(), texts), strict=True):
+        odds = weight = 0.0
+        for at in range(0, max(len(text) - quality_net.HALF, 1), quality_net.HALF):
+            piece = np.zeros(quality_net.CHUNK + quality_net.WIDTH, np.uint8)
+            own = np.frombuffer(text[at : at + len(piece)], np.uint8)
+            piece[: len(own)] = own
+            positions = quality_net.CHUNK if at + quality_net.HALF < len(text) else quality_net.HALF
+            raw = [sum(net.embed[piece[i + w]] @ net.filters[w] for w in range(quality_net.WIDTH)) for i in range(positions)]
+            size = min(quality_net.CHUNK, len(text) - at)
+            odds += net.judge(np.max(raw, 0)[None], np.array([size]))[0] * (size + 1e-3)
+            weight += size + 1e-3
+        assert abs(got - 1 / (1 + np.exp(-odds / weight))) < 1e-4, len(text)
+
+
+def test_training_sees_every_byte():
+    texts = [b"", b"x" * 100, bytes(range(256)) * 9, b"y" * 256, b"z" * 512]
+    for phase in (0, quality_net.HALF):
+        data, filled, own = quality_net.laid_out(texts, phase)
+        for i, text in enumerate(texts):
+            assert b"".join(d[:n].tobytes() for d, n in zip(data[own == i], filled[own == i], strict=True)) == text[phase if len(text) > phase else 0 :]
+
+
 def test_gradients():
     """Training lowers the loss on what a linear filter can tell apart."""
     r = np.random.default_rng(0)
@@ -56,12 +81,20 @@ def test_stages(spark, sf_dir):
 
 def test_empty_and_odd_rows_pass(spark, sf_dir, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, None, None, None, None), (None, "a text", "en", None, 6), (2, "", "en", "s", 0), (3, "same words here", "en", "s", 15), (3, "same words here", "en", "s", 15)]
+    rows = [(1, None, None, None, None), (None, "a text", "en", None, 6), (2, "", "en", "s", 0), (3, "same words here", "en", "s", 15), (3, "same words here", "en", "s", 15), (4, "very long " * 60_000 + "end", "en", "s", 9)]
     for name, data in (("some", rows), ("none", [])):
         folder = str(tmp_path / name)
         spark.createDataFrame(data, schema).write.parquet(f"{folder}/documents.parquet")
         for t in ("labels", "benchmark"):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
         ids = [r.doc_id for r in corpus_pipeline.run(spark, folder).collect()]
-        assert sorted(ids, key=lambda x: (x is not None, x)) == ([None, 1, 3] if data else []) or set(ids) <= {None, 1, 2, 3}
+        assert sorted(ids, key=lambda x: (x is not None, x)) == ([None, 1, 3] if data else []) or set(ids) <= {None, 1, 2, 3, 4}
         assert ids.count(3) == (1 if data else 0)
+
+
+def test_columns_that_clash_stay(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").selectExpr("*", "'a' AS score", "'b' AS lines_removed", "1 AS class", "'c' AS node")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        after = common.staged(stage(spark, docs, sf_dir), "stage")
+        assert after.dtypes == docs.dtypes and after.where("score = 'a' AND lines_removed = 'b' AND class = 1 AND node = 'c'").count() == after.count()
+        docs = after
