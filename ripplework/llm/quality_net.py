@@ -84,9 +84,15 @@ def score_texts(net: Net, tables: np.ndarray, texts: list[bytes]) -> np.ndarray:
     for text, at in zip(texts, (starts[:-1] * HALF).tolist(), strict=True):
         data[at : at + len(text)] = np.frombuffer(text, np.uint8)
     best = np.empty((int(starts[-1]), FILTERS), np.float32)
+    lasts, edge = starts[1:] - 1, WIDTH - 1
+    ends = np.zeros((len(texts), 2 * edge), np.uint8)  # the last bytes of each text's last half, and zeros: the next text isn't looked at
+    ends[:, :edge] = data[(lasts[:, None] + 1) * HALF - edge + np.arange(edge)]
     for a in range(0, int(starts[-1]) * HALF, SLAB):
-        n = min(SLAB, int(starts[-1]) * HALF - a)
-        best[a // HALF : (a + n) // HALF] = answers(tables, data[a : a + n + WIDTH], n).reshape(-1, HALF, FILTERS).max(1)
+        n, half = min(SLAB, int(starts[-1]) * HALF - a), a // HALF
+        got = answers(tables, data[a : a + n + WIDTH], n).reshape(-1, HALF, FILTERS)
+        low, high = np.searchsorted(lasts, [half, half + len(got)])
+        got[lasts[low:high] - half, HALF - edge :] = sum(tables[w][ends[low:high, w : w + edge]] for w in range(WIDTH))
+        best[half : half + len(got)] = got.max(1)
     own = np.repeat(np.arange(len(texts)), halves)
     filled = np.clip(sizes[own] - (np.arange(len(own)) - starts[own]) * HALF, 0, HALF)
     joined = np.zeros(len(own), bool)  # a chunk is a half and the next; a text's last half alone is a chunk only if it's the sole one
