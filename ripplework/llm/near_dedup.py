@@ -16,8 +16,11 @@ similarity of their shingles; unlike that, it falls when passages change places.
    The sketches agree on that one for most small groups, so this is about one pair for each text.
 4. For buckets, of all sketches, whose texts aren't all in one class after that (chains of edits; passages that many texts share)
    every pair of texts of different classes is verified, in pieces of bounded size that meet two at a time:
-   nothing that shares a bucket is left out, and pairs that links connect already cost nothing. An exact count of common shingles, an
-   upper bound of the alignment's, sorts out what can't reach the threshold before it is aligned.
+   nothing that shares a bucket is left out, and pairs that links connect already cost nothing. A bucket of more than
+   one piece is divided first, by an exact rule: shingles are put in an order, rare ones first, and texts that reach
+   the threshold share a shingle among the first (1 - threshold) of both; only texts that share one of these meet. So
+   texts with one long passage in common, however many, don't meet each other for that passage. An exact count of
+   common shingles, an upper bound of the alignment's, sorts out what can't reach the threshold before it is aligned.
 5. Alignment is limited to the band that the threshold allows (a + b - 2m <= a / 4 there) and runs on bit
    vectors, a machine word of cells at a time.
 
@@ -44,6 +47,8 @@ FIRST = -(1 << 63)
 BLANK = b" \t\n\x0b\x0c\r"
 #: Texts and words of a piece of a bucket that is held at once.
 PIECE_TEXTS, PIECE_WORDS = 2048, 1_000_000
+#: Bits of a shingle's hash by which it is counted, to tell rare ones; any order of shingles gives the same links.
+SLOTS = 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -239,13 +244,8 @@ def links_between(visitors: list[tuple], own: list[tuple], threshold: float) ->
             c = parent[c]
         return c
 
-    def labelled(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in seqs])]).astype(np.int64)
-        flat = np.concatenate(seqs) if seqs else np.zeros(0, np.uint64)
-        return _mixed(flat + occurrences(flat, bounds).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), bounds
-
     theirs, mine = [_unpack(x[2]) for x in visitors], [_unpack(x[2]) for x in own]
-    (v, at), (o, bounds) = labelled(theirs), labelled(mine)
+    (v, at), (o, bounds) = _labelled([x[2] for x in visitors]), _labelled([x[2] for x in own])
     sizes = np.diff(bounds)
     order = np.argsort(o, kind="stable")
     ranked, owner = o[order], np.repeat(np.arange(len(own)), sizes)[order]
@@ -287,7 +287,9 @@ def components(links: DataFrame) -> DataFrame:
         jump = state.select(F.col("node").alias("class"), F.col("class").alias("next"))
         after = common.staged(lower.join(jump, "class", "left").select("node", "was", F.coalesce("next", "class").alias("class")), "classes")
         if after.where(F.col("class") != F.col("was")).isEmpty():
-            return after.select("node", "class")
+            found = after.select("node", "class")
+            found.staged_at = after.staged_at
+            return found
         state = after.select("node", "class")
 
 
@@ -310,10 +312,8 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _classified(docs: DataFrame, threshold: float, shingle: int, sketches: int, picks: int) -> DataFrame:
-    """doc, text_hash, class, class_doc, rows, n_texts of each row."""
-    spark = docs.sparkSession
-    common.bound_batches(spark)
+def _classes(docs: DataFrame, threshold: float, shingle: int, sketches: int, picks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their nodes (different texts), the nodes, and the classes of nodes that have links; staged."""
     keyed = common.texts(docs).select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), "text", _text_hash().alias("text_hash"))
     sketched = common.staged(keyed.mapInArrow(_sketch(shingle, sketches, picks), "doc long, text_hash long, node long, n long, buckets array<long>"), "sketches")
     texts = common.staged(sketched.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("rows")), "texts")
@@ -328,7 +328,16 @@ def _classified(docs: DataFrame, threshold: float, shingle: int, sketches: int,
     new = odd.select("node").distinct().join(packed.select("node"), "node", "left_anti")
     packed = packed.unionByName(_packed(keyed.select("doc", "text"), texts, new, shingle))
     classes = components(links.unionByName(common.staged(_across_classes(odd, packed, threshold), "found")))
+    return sketched, texts, classes
+
 
+def _classified(docs: DataFrame, threshold: float, shingle: int, sketches: int, picks: int) -> DataFrame:
+    """doc, text_hash, class, class_doc, rows, n_texts of each row."""
+    spark = docs.sparkSession
+    common.bound_batches(spark)
+    with common.collected(spark) as keep:
+        keep += _classes(docs, threshold, shingle, sketches, picks)
+    sketched, texts, classes = keep
     of_text = texts.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     of_class = of_text.groupBy("class").agg(F.min("doc").alias("class_doc"), F.count("*").alias("n_texts"))
     of_text = of_text.join(of_class, "class").select("node", "rows", "class", "class_doc", "n_texts")
@@ -356,20 +365,78 @@ def _with_shingles(pairs: DataFrame, packed: DataFrame) -> DataFrame:
 
 
 def _odd(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """bucket, node, class, texts, words: the buckets of all sketches whose texts aren't in one class; of buckets with the same texts one."""
+    """bucket, node, class, n, texts, words: the buckets of all sketches whose texts aren't in one class; of buckets with the same texts one."""
     classed = texts.join(classes, "node", "left").select("node", "n", F.coalesce("class", "node").alias("class"), F.explode(F.array_distinct("buckets")).alias("bucket"))
+    return common.staged(_of_two_classes(classed), "odd")
+
+
+def _of_two_classes(classed: DataFrame) -> DataFrame:
+    """Rows (bucket, node, class, n) of buckets with more than one class, with the bucket's texts and words; of buckets with the same texts one."""
     mark = F.xxhash64("node").cast("decimal(38,0)")
     mixed = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("words"), F.sum(mark).alias("mark")).where("low < high")
     once = mixed.groupBy("mark", "texts").agg(F.min("bucket").alias("bucket"), F.min("words").alias("words")).drop("mark")
-    return common.staged(classed.drop("n").join(once, "bucket").distinct(), "odd")
+    return classed.join(once, "bucket").distinct()
+
+
+def _labelled(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of texts, told apart by how often they have stood before, and each text's bounds."""
+    seqs = [_unpack(x) for x in raw]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in seqs])]).astype(np.int64)
+    flat = np.concatenate(seqs) if seqs else np.zeros(0, np.uint64)
+    return _mixed(flat + occurrences(flat, bounds).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), bounds
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SLOTS, np.int64)
+    for got in batches:
+        values, _ = _labelled(got.column("shingles").to_pylist())
+        total += np.bincount((values >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["slot", "n"])
+
+
+def _firsts(often: np.ndarray, threshold: float):
+    """Each text's shingles that come first: those of the slots that are used least, then by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            values, bounds = _labelled(got.column("shingles").to_pylist())
+            text = np.repeat(np.arange(got.num_rows), np.diff(bounds))
+            order = np.lexsort((values, often[(values >> np.uint64(64 - SLOTS)).astype(np.int64)], text))
+            n = np.diff(bounds)
+            kept = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            first = np.arange(len(values)) - bounds[text] < kept[text]
+            own = pa.array(text[first])
+            columns = [got.column(c).take(own) for c in ("bucket", "node", "class", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(values[order][first].view(np.int64))], ["bucket", "node", "class", "n", "shingle"])
+
+    return run
+
+
+def _divided(odd: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """odd with buckets of more than one piece replaced by those of their texts that share a first shingle."""
+    large = odd.where(_n_pieces() > 1)
+    if large.isEmpty():
+        return odd
+    tallied = large.select("node").distinct().join(packed, "node").select("shingles").mapInArrow(_tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    often = np.zeros(1 << SLOTS, np.uint8)
+    counts = tallied.toArrow()  # a row for each slot at most
+    often[np.asarray(counts.column("slot"))] = np.log2(np.asarray(counts.column("n"), np.float64) + 1).astype(np.uint8)
+    shared = large.select("bucket", "node", "class", "n").join(packed, "node").mapInArrow(_firsts(often, threshold), "bucket long, node long, class long, n long, shingle long")
+    parts = common.staged(shared.select(F.xxhash64("bucket", "shingle").alias("bucket"), "node", "class", "n"), "parts")
+    return common.staged(odd.where(_n_pieces() <= 1).unionByName(_of_two_classes(parts).select(odd.columns)), "odd")
+
+
+def _n_pieces() -> Column:
+    return F.greatest(F.ceil(F.col("texts") / PIECE_TEXTS), F.ceil(F.col("words") / PIECE_WORDS)).cast("int")
 
 
 def _across_classes(odd: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
     """Links between texts of a bucket that aren't in one class yet."""
+    odd = _divided(odd, packed, threshold)
     counts = odd.groupBy("bucket", "class").count()
     major = counts.groupBy("bucket").agg(F.max(F.struct("count", "class")).alias("x")).select("bucket", F.col("x.class").alias("major"))
-    pieces = F.greatest(F.ceil(F.col("texts") / PIECE_TEXTS), F.ceil(F.col("words") / PIECE_WORDS)).cast("int")
-    odd = odd.join(major, "bucket").select("bucket", "node", "class", (F.col("class") != F.col("major")).alias("minor"), pieces.alias("pieces"))
+    odd = odd.join(major, "bucket").select("bucket", "node", "class", (F.col("class") != F.col("major")).alias("minor"), _n_pieces().alias("pieces"))
     odd = odd.withColumn("piece", F.pmod(F.xxhash64("node", "bucket"), F.col("pieces")).cast("int"))
     # a pair has a text that isn't of the major class: it visits, with its piece, every piece of the bucket
     every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
