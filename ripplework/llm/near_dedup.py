@@ -16,10 +16,7 @@ similarity of their shingles; unlike that, it falls when passages change places.
    The sketches agree on that one for most small groups, so this is about one pair for each text.
 4. For buckets, of all sketches, whose texts aren't all in one class after that (chains of edits; passages that many texts share)
    every pair of texts of different classes is verified, in pieces of bounded size that meet two at a time:
-   nothing that shares a bucket is left out, and pairs that links connect already cost nothing. A bucket of more than
-   one piece is divided first, by an exact rule: shingles are put in an order, rare ones first, and texts that reach
-   the threshold share a shingle among the first (1 - threshold) of both; only texts that share one of these meet. So
-   texts with one long passage in common, however many, don't meet each other for that passage. An exact count of
+   nothing that shares a bucket is left out, and pairs that links connect already cost nothing. An exact count of
    common shingles, an upper bound of the alignment's, sorts out what can't reach the threshold before it is aligned.
 5. Alignment is limited to the band that the threshold allows (a + b - 2m <= a / 4 there) and runs on bit
    vectors, a machine word of cells at a time.
@@ -47,8 +44,6 @@ FIRST = -(1 << 63)
 BLANK = b" \t\n\x0b\x0c\r"
 #: Texts and words of a piece of a bucket that is held at once.
 PIECE_TEXTS, PIECE_WORDS = 2048, 1_000_000
-#: Bits of a shingle's hash by which it is counted, to tell rare ones; any order of shingles gives the same links.
-SLOTS = 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -250,21 +245,34 @@ def links_between(visitors: list[tuple], own: list[tuple], threshold: float) ->
     order = np.argsort(o, kind="stable")
     ranked, owner = o[order], np.repeat(np.arange(len(own)), sizes)[order]
     out = []
+    roots = np.array([root(x[1]) for x in own], np.int64)
     for i, (name, group, _) in enumerate(visitors):
         asked = v[at[i] : at[i + 1]]
         lo, hi = np.searchsorted(ranked, asked), np.searchsorted(ranked, asked, "right")
-        total = np.concatenate([[0], np.cumsum(hi - lo)])
-        hits = np.repeat(lo - total[:-1], hi - lo) + np.arange(total[-1])
-        shared = np.bincount(owner[hits], minlength=len(own))  # shingles in common with each text, repeats counted
-        could = shared >= threshold * (len(asked) + sizes - shared) - 1e-9
-        for j in sorted(np.flatnonzero(could).tolist(), key=lambda j: -shared[j]):
+        # whoever reaches the threshold has all but so many of the shingles, and so one of any more than that: of the rarest here
+        least = np.argsort(hi - lo, kind="stable")[: len(asked) - int(np.ceil(threshold * len(asked) - 1e-9)) + 1]
+        near = np.unique(owner[_ranges(lo[least], hi[least])])
+        near = near[(roots[near] != root(group)) & (sizes[near] >= threshold * len(asked)) & (len(asked) >= threshold * sizes[near])]
+        if not len(near):
+            continue
+        shared = np.bincount(owner[_ranges(lo, hi)], minlength=len(own))[near]  # shingles in common with each text, repeats counted
+        could = shared >= threshold * (len(asked) + sizes[near] - shared) - 1e-9
+        for j, _ in sorted(zip(near[could].tolist(), shared[could].tolist(), strict=True), key=lambda x: -x[1]):
             a, b = root(group), root(own[j][1])
             if a != b and similar(theirs[i], mine[j], threshold):
                 parent[max(a, b)] = min(a, b)
+                roots[(roots == a) | (roots == b)] = min(a, b)
                 out.append((name, own[j][0]))
     return out
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after another."""
+    size = high - low
+    total = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(low - total[:-1], size) + np.arange(total[-1])
+
+
 def _pieces(threshold: float):
     def run(frame):
         import pandas as pd
@@ -365,7 +373,7 @@ def _with_shingles(pairs: DataFrame, packed: DataFrame) -> DataFrame:
 
 
 def _odd(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """bucket, node, class, n, texts, words: the buckets of all sketches whose texts aren't in one class; of buckets with the same texts one."""
+    """bucket, node, class, texts, words: the buckets of all sketches whose texts aren't in one class; of buckets with the same texts one."""
     classed = texts.join(classes, "node", "left").select("node", "n", F.coalesce("class", "node").alias("class"), F.explode(F.array_distinct("buckets")).alias("bucket"))
     return common.staged(_of_two_classes(classed), "odd")
 
@@ -386,54 +394,12 @@ def _labelled(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(flat + occurrences(flat, bounds).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), bounds
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SLOTS, np.int64)
-    for got in batches:
-        values, _ = _labelled(got.column("shingles").to_pylist())
-        total += np.bincount((values >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["slot", "n"])
-
-
-def _firsts(often: np.ndarray, threshold: float):
-    """Each text's shingles that come first: those of the slots that are used least, then by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in batches:
-            values, bounds = _labelled(got.column("shingles").to_pylist())
-            text = np.repeat(np.arange(got.num_rows), np.diff(bounds))
-            order = np.lexsort((values, often[(values >> np.uint64(64 - SLOTS)).astype(np.int64)], text))
-            n = np.diff(bounds)
-            kept = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            first = np.arange(len(values)) - bounds[text] < kept[text]
-            own = pa.array(text[first])
-            columns = [got.column(c).take(own) for c in ("bucket", "node", "class", "n")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(values[order][first].view(np.int64))], ["bucket", "node", "class", "n", "shingle"])
-
-    return run
-
-
-def _divided(odd: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
-    """odd with buckets of more than one piece replaced by those of their texts that share a first shingle."""
-    large = odd.where(_n_pieces() > 1)
-    if large.isEmpty():
-        return odd
-    tallied = large.select("node").distinct().join(packed, "node").select("shingles").mapInArrow(_tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    often = np.zeros(1 << SLOTS, np.uint8)
-    counts = tallied.toArrow()  # a row for each slot at most
-    often[np.asarray(counts.column("slot"))] = np.log2(np.asarray(counts.column("n"), np.float64) + 1).astype(np.uint8)
-    shared = large.select("bucket", "node", "class", "n").join(packed, "node").mapInArrow(_firsts(often, threshold), "bucket long, node long, class long, n long, shingle long")
-    parts = common.staged(shared.select(F.xxhash64("bucket", "shingle").alias("bucket"), "node", "class", "n"), "parts")
-    return common.staged(odd.where(_n_pieces() <= 1).unionByName(_of_two_classes(parts).select(odd.columns)), "odd")
-
-
 def _n_pieces() -> Column:
     return F.greatest(F.ceil(F.col("texts") / PIECE_TEXTS), F.ceil(F.col("words") / PIECE_WORDS)).cast("int")
 
 
 def _across_classes(odd: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
     """Links between texts of a bucket that aren't in one class yet."""
-    odd = _divided(odd, packed, threshold)
     counts = odd.groupBy("bucket", "class").count()
     major = counts.groupBy("bucket").agg(F.max(F.struct("count", "class")).alias("x")).select("bucket", F.col("x.class").alias("major"))
     odd = odd.join(major, "bucket").select("bucket", "node", "class", (F.col("class") != F.col("major")).alias("minor"), _n_pieces().alias("pieces"))
