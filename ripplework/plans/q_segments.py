@@ -119,11 +119,10 @@ def pad_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(sel.padded(_stats(spark, sf_dir), 20, ("rms", "voiced_fraction")), "rms voiced_fraction")
 
 
-@query("SELECT vec_id, CAST(c AS BIGINT) AS pos, round(CASE c WHEN 0 THEN vec_id WHEN 1 THEN 0 ELSE (CASE WHEN vec_id % 2 = 0 THEN coalesce(embedding[c - 1], 0) ELSE 0 END) END + 1e-9, 6) AS v FROM embeddings, (SELECT unnest(range(0, 10)) AS c)")
+@query("SELECT vec_id, CAST(c AS BIGINT) AS pos, round(CASE c WHEN 0 THEN vec_id WHEN 1 THEN 0 ELSE coalesce(embedding[c - 1], 0) END + 1e-9, 6) AS v FROM embeddings, (SELECT unnest(range(0, 70)) AS c)")
 def flatten_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = signals.table(spark, sf_dir, "embeddings")
-    emb = F.when(F.col("vec_id") % 2 == 0, F.slice("embedding", 1, 8))
-    flat = sel.flatten([F.col("vec_id"), F.lit(None)], [emb], [], 10)
+    flat = sel.flatten([F.col("vec_id"), F.lit(None)], [F.col("embedding")], [], 70)  # the last four are padding
     return round_all(e.select("vec_id", F.posexplode(flat).alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("v").cast("double").alias("v")), "v")
 
 

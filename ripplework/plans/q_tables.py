@@ -11,11 +11,11 @@ from ripplework.plans.registry import query, round_all
 from ripplework.sources import manifests, signals
 
 # orders stand for recordings, their lines for results of extractors
-_RESULTS = """results AS (SELECT o_orderkey AS video_id, concat('extractor_', l_linenumber) AS name, l_returnflag <> 'R' AS success, l_quantity AS value, l_discount AS seconds FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 4)"""
+_RESULTS = """results AS (SELECT o_orderkey AS video_id, concat('extractor_', l_linenumber) AS name, l_returnflag <> 'R' AS success, l_quantity AS value, l_discount AS seconds FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signals.table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").join(signals.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    rows = signals.table(spark, sf_dir, "lineitem").join(signals.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     ok = F.col("l_returnflag") != "R"
     return rows.select(
         F.col("l_orderkey").alias("video_id"), F.concat(F.lit("extractor_"), F.col("l_linenumber").cast("string")).alias("name"), F.lit("1.0").alias("version"), ok.alias("success"),
@@ -61,9 +61,9 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROBE = "concat('{\"format\": {\"duration\": \"', l_quantity, '\", \"size\": \"', l_partkey, '\"}, \"streams\": [{\"codec_type\": \"video\", \"codec_name\": \"h264\", \"r_frame_rate\": \"', l_suppkey, '/', l_linenumber - 1, '\"}]}')"
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity AS duration, l_partkey AS size, 0::BIGINT AS bit_rate, 'h264' AS video_codec, NULL::VARCHAR AS audio_codec, round(CASE WHEN l_linenumber > 1 THEN l_suppkey / (l_linenumber - 1) ELSE 0 END + 1e-9, 6) AS fps FROM lineitem WHERE l_linenumber <= 2")
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS duration, l_partkey AS size, 0::BIGINT AS bit_rate, 'h264' AS video_codec, NULL::VARCHAR AS audio_codec, round(CASE WHEN l_linenumber > 1 THEN l_suppkey / (l_linenumber - 1) ELSE 0 END + 1e-9, 6) AS fps FROM lineitem")
 def media_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signals.table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", manifests.media_info(F.expr(_PROBE)).alias("m"))
+    rows = signals.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", manifests.media_info(F.expr(_PROBE)).alias("m"))
     return round_all(rows.select("l_orderkey", "l_linenumber", "m.*"), "fps")
 
 
