@@ -23,32 +23,60 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _list(labels: tuple[str, ...], sql) -> str:
-    return "[" + ", ".join(f"{{'score': {sql(x)}, 'rank': {-i}, 'label': '{x}'}}" for i, x in enumerate(labels)) + "]"
-
-
-@query(f"SELECT rec_id, e.label AS label, round(e.score + 1e-9, 6) AS score FROM (SELECT rec_id, unnest({_list(tuple(sc.EVENTS), sc.event_sql)}) AS e FROM feats)", SIGNAL, _FEATURES)
+# The rules, written out once more in SQL: a wrong threshold on either side shows.
+_EVENT_SQL = """
+  SELECT rec_id, 0 AS place, 'speech' AS label, (pitch_present > 0.5)::INT * 4 + (energy_mean >= 0.05 AND energy_mean <= 0.2)::INT * 3 + (zcr_mean >= 0.1 AND zcr_mean <= 0.3)::INT * 3 AS tenths FROM feats
+  UNION ALL SELECT rec_id, 1, 'music', (pitch_present > 0.5)::INT * 3 + (energy_mean > 0.1)::INT * 3 + (zcr_mean < 0.2)::INT * 4 FROM feats
+  UNION ALL SELECT rec_id, 2, 'noise', (pitch_present < 0.3)::INT * 4 + (zcr_mean > 0.3)::INT * 3 + (centroid_std > 1000)::INT * 3 FROM feats
+  UNION ALL SELECT rec_id, 3, 'silence', (energy_mean < 0.01)::INT * 5 + (pitch_present < 0.1)::INT * 5 FROM feats
+  UNION ALL SELECT rec_id, 4, 'environmental', (pitch_present < 0.4)::INT * 3 + (energy_mean >= 0.02 AND energy_mean <= 0.15)::INT * 3 + (zcr_mean >= 0.1 AND zcr_mean <= 0.4)::INT * 4 FROM feats
+  UNION ALL SELECT rec_id, 5, 'mechanical', (pitch_present < 0.3)::INT * 3 + (energy_mean > 0.05)::INT * 3 + (zcr_mean > 0.2)::INT * 4 FROM feats
+  UNION ALL SELECT rec_id, 6, 'human', (pitch_present > 0.4)::INT * 4 + (energy_mean >= 0.03 AND energy_mean <= 0.2)::INT * 3 + (zcr_mean >= 0.1 AND zcr_mean <= 0.3)::INT * 3 FROM feats
+  UNION ALL SELECT rec_id, 7, 'alarm', (pitch_present > 0.5)::INT * 3 + (energy_mean > 0.1)::INT * 3 + (zcr_mean < 0.2)::INT * 4 FROM feats"""
+_SCENE_SQL = """
+  SELECT rec_id, 0 AS place, 'indoor' AS label, (energy_mean < 0.1)::INT * 3 + (pitch_present > 0.3)::INT * 4 + (zcr_mean < 0.3)::INT * 3 AS tenths FROM feats
+  UNION ALL SELECT rec_id, 1, 'outdoor', (energy_mean > 0.05)::INT * 3 + (pitch_present < 0.4)::INT * 4 + (zcr_mean > 0.2)::INT * 3 FROM feats
+  UNION ALL SELECT rec_id, 2, 'transport', (energy_mean > 0.1)::INT * 4 + (pitch_present < 0.3)::INT * 3 + (zcr_mean > 0.3)::INT * 3 FROM feats
+  UNION ALL SELECT rec_id, 3, 'nature', (energy_mean >= 0.02 AND energy_mean <= 0.1)::INT * 3 + (pitch_present < 0.4)::INT * 4 + (zcr_mean >= 0.1 AND zcr_mean <= 0.4)::INT * 3 FROM feats
+  UNION ALL SELECT rec_id, 4, 'urban', (energy_mean > 0.08)::INT * 4 + (pitch_present < 0.4)::INT * 3 + (zcr_mean > 0.25)::INT * 3 FROM feats
+  UNION ALL SELECT rec_id, 5, 'quiet', (energy_mean < 0.03)::INT * 5 + (zcr_mean < 0.2)::INT * 5 FROM feats
+  UNION ALL SELECT rec_id, 6, 'noisy', (energy_mean > 0.1)::INT * 5 + (zcr_mean > 0.3)::INT * 5 FROM feats"""
+_EMOTION_SQL = """
+  SELECT rec_id, 0 AS place, 'happy' AS label, CASE WHEN pitch_mean > 200 AND energy_mean > 0.1 AND tempo > 120 THEN 4 WHEN pitch_mean > 180 AND energy_mean > 0.08 THEN 2 ELSE 0 END AS tenths FROM feats
+  UNION ALL SELECT rec_id, 1, 'sad', CASE WHEN pitch_mean < 150 AND energy_mean < 0.05 AND tempo < 80 THEN 4 WHEN pitch_mean < 170 AND energy_mean < 0.07 THEN 2 ELSE 0 END FROM feats
+  UNION ALL SELECT rec_id, 2, 'angry', CASE WHEN pitch_std > 50 AND energy_mean > 0.12 AND tempo > 100 THEN 4 WHEN pitch_std > 40 AND energy_mean > 0.1 THEN 2 ELSE 0 END FROM feats
+  UNION ALL SELECT rec_id, 3, 'fearful', CASE WHEN pitch_mean > 220 AND energy_std > 0.05 AND tempo > 110 THEN 4 WHEN pitch_mean > 200 AND energy_std > 0.03 THEN 2 ELSE 0 END FROM feats
+  UNION ALL SELECT rec_id, 4, 'surprised', CASE WHEN pitch_mean > 250 AND energy_mean > 0.15 AND tempo > 130 THEN 4 WHEN pitch_mean > 230 AND energy_mean > 0.12 THEN 2 ELSE 0 END FROM feats
+  UNION ALL SELECT rec_id, 5, 'disgusted', CASE WHEN pitch_mean < 140 AND energy_mean < 0.04 AND tempo < 70 THEN 4 WHEN pitch_mean < 160 AND energy_mean < 0.06 THEN 2 ELSE 0 END FROM feats
+  UNION ALL SELECT rec_id, 6, 'neutral', CASE WHEN pitch_mean BETWEEN 150 AND 200 AND energy_mean BETWEEN 0.06 AND 0.1 AND tempo BETWEEN 80 AND 120 AND pitch_std < 30 THEN 4 ELSE 1 END FROM feats"""
+
+
+def _shares(scores: str) -> str:
+    return f"SELECT rec_id, label, round(CASE WHEN sum(tenths) OVER (PARTITION BY rec_id) > 0 THEN tenths / sum(tenths) OVER (PARTITION BY rec_id) ELSE 0 END + 1e-9, 6) AS share FROM ({scores})"
+
+
+def _best(scores: str) -> str:
+    return f"SELECT rec_id, arg_max(label, tenths * 100 - place) AS label, max(tenths) AS tenths FROM ({scores}) GROUP BY rec_id"
+
+
+@query(f"SELECT rec_id, label, round(tenths / 10 + 1e-9, 6) AS score FROM ({_EVENT_SQL})", SIGNAL, _FEATURES)
 def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir).select("rec_id", F.inline(sc.event_scores()))
     return round_all(rows.select("rec_id", "label", "score"), "score")
 
 
-@query(f"SELECT rec_id, CASE WHEN e.score > 0.3 THEN e.label ELSE 'unknown' END AS event_type FROM (SELECT rec_id, list_max({_list(tuple(sc.EVENTS), sc.event_sql)}) AS e FROM feats)", SIGNAL, _FEATURES)
+@query(f"SELECT rec_id, CASE WHEN tenths > 3 THEN label ELSE 'unknown' END AS event_type FROM ({_best(_EVENT_SQL)})", SIGNAL, _FEATURES)
 def event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("rec_id", sc.best_event(sc.event_scores()).alias("event_type"))
 
 
-def _shares(labels: tuple[str, ...], sql) -> str:
-    return f"SELECT rec_id, e.label AS label, round(CASE WHEN sum(e.score) OVER (PARTITION BY rec_id) > 0 THEN e.score / sum(e.score) OVER (PARTITION BY rec_id) ELSE e.score END + 1e-9, 6) AS share FROM (SELECT rec_id, unnest({_list(labels, sql)}) AS e FROM feats)"
-
-
-@query(_shares(tuple(sc.SCENES), sc.scene_sql), SIGNAL, _FEATURES)
+@query(_shares(_SCENE_SQL), SIGNAL, _FEATURES)
 def scene_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir).select("rec_id", F.inline(sc.scene_scores()))
     return round_all(rows.select("rec_id", "label", F.col("score").alias("share")), "share")
 
 
-@query(f"SELECT rec_id, e.label AS scene FROM (SELECT rec_id, list_max({_list(tuple(sc.SCENES), sc.scene_sql)}) AS e FROM feats)", SIGNAL, _FEATURES)
+@query(f"SELECT rec_id, label AS scene FROM ({_best(_SCENE_SQL)})", SIGNAL, _FEATURES)
 def scene_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("rec_id", F.array_max(sc.scores(tuple(sc.SCENES), sc.scene_sql))["label"].alias("scene"))
 
@@ -56,13 +84,13 @@ def scene_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EMOTIONS = (*sc.EMOTIONS, "neutral")
 
 
-@query(_shares(_EMOTIONS, sc.emotion_sql), SIGNAL, _FEATURES)
+@query(_shares(_EMOTION_SQL), SIGNAL, _FEATURES)
 def emotion_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir).select("rec_id", F.inline(sc.emotion_scores()))
     return round_all(rows.select("rec_id", "label", F.col("score").alias("share")), "share")
 
 
-@query(f"SELECT rec_id, e.label AS emotion FROM (SELECT rec_id, list_max({_list(_EMOTIONS, sc.emotion_sql)}) AS e FROM feats)", SIGNAL, _FEATURES)
+@query(f"SELECT rec_id, label AS emotion FROM ({_best(_EMOTION_SQL)})", SIGNAL, _FEATURES)
 def dominant_emotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("rec_id", F.array_max(sc.scores(_EMOTIONS, sc.emotion_sql))["label"].alias("emotion"))
 
