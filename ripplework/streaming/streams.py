@@ -1,12 +1,13 @@
 """The batch operators on streams: windows, sessions and runs with bounded state.
 
 Semantics: event time, a watermark of one segment, append mode; a window's or session's row comes once the
-watermark has passed it. Under availableNow, over data without late rows, the results equal the batch ones.
+watermark has passed it. Under availableNow, over data without rows behind the watermark, the results equal the
+batch ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,41 +41,52 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "3 days") ->
 
 
 RUN = "user_id long, label string, start timestamp, end timestamp, n long"
+HELD = "label string, start long, end long, n long, times array<long>, ids array<long>, labels array<string>"
 
 
-def label_runs(events: DataFrame, label: str = "event_type", late: str = "3 days") -> DataFrame:
-    """Runs of an equal label by user: a run is emitted when the label changes or the watermark leaves it behind.
+def label_runs(events: DataFrame, label: str = "event_type", late: str = "3 days", idle_days: int = 365) -> DataFrame:
+    """Runs of an equal label by user, whatever the order in which rows come, as long as they aren't behind the watermark.
 
-    State is one open run for each user. Rows of a micro-batch are ordered by time; rows later than the open run's
-    end join it or close it, rows before it count as late and are left out.
+    State is a user's open run, and its rows that the watermark hasn't passed yet: these wait, so that a row that
+    comes late finds its place. A run is emitted when a row with another label has joined the order, or when the
+    watermark is `idle_days` beyond its last row; a later row begins another run then.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
-        if state.hasTimedOut:
-            name, start, end, n = state.get
-            out.append((key[0], name, pd.Timestamp(start, unit="us", tz="UTC"), pd.Timestamp(end, unit="us", tz="UTC"), n))
+        *run, times, ids, labels = state.get if state.exists else (None, 0, 0, 0, [], [], [])
+        waiting = list(zip(times, ids, labels, strict=True))
+        for frame in [] if state.hasTimedOut else frames:
+            micros = frame["ts"].astype("datetime64[us, UTC]" if frame["ts"].dt.tz else "datetime64[us]").astype("int64")
+            waiting += zip(micros.tolist(), frame["event_id"].tolist(), frame[label].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs() * 1000
+        stamp = lambda us: pd.Timestamp(us, unit="us", tz="UTC")
+
+        def close() -> None:
+            if run[3]:
+                out.append((key[0], run[0], stamp(run[1]), stamp(run[2]), run[3]))
+            run[3] = 0
+
+        for at, _, name in sorted((x for x in waiting if x[0] <= passed), key=lambda x: x[:2]):
+            if run[3] and run[0] == name:
+                run[2], run[3] = at, run[3] + 1
+            else:
+                close()
+                run = [name, at, at, 1]
+        waiting = sorted((x for x in waiting if x[0] > passed), key=lambda x: x[:2])
+        idle = idle_days * 86_400_000_000
+        if run[3] and not waiting and passed > run[2] + idle:
+            close()
+        if run[3] or waiting:
+            times, ids, labels = (list(x) for x in zip(*waiting, strict=True)) if waiting else ([], [], [])
+            state.update((*run, times, ids, labels))
+            state.setTimeoutTimestamp(max((times[0] if times else run[2] + idle) // 1000, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
             state.remove()
-        else:
-            held = list(state.get) if state.exists else None
-            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-            for name, ts in zip(rows[label], rows["ts"], strict=True):
-                at = int(pd.Timestamp(ts).value // 1000)
-                if held and at < held[2]:
-                    continue
-                if held and held[0] == name:
-                    held[2], held[3] = at, held[3] + 1
-                else:
-                    if held:
-                        out.append((key[0], held[0], pd.Timestamp(held[1], unit="us", tz="UTC"), pd.Timestamp(held[2], unit="us", tz="UTC"), held[3]))
-                    held = [name, at, at, 1]
-            if held:
-                state.update(tuple(held))
-                state.setTimeoutTimestamp(max(held[2] // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["user_id", "label", "start", "end", "n"])
 
     marked = events.withWatermark("ts", late)
-    return marked.groupBy("user_id").applyInPandasWithState(step, RUN, "label string, start long, end long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("user_id").applyInPandasWithState(step, RUN, HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def scaling_action(load: Column, high: float, low: float) -> Column:
@@ -96,10 +108,18 @@ def upsert(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def snapshot(aggregated: DataFrame, path: str, checkpoint: str) -> None:
-    """The whole result of an aggregation after each micro-batch, in place of the one before: for results that late rows may still change."""
+def to_end(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
+    """All rows of an append-mode result over a folder (or file) that gets no more rows.
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    aggregated.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    What is there is read as a stream; then one row of a far later time, without a user, moves the watermark past
+    everything, so that all windows, sessions and runs are closed. State stays bounded by the watermark throughout.
+    """
+    rows = spark.read.parquet(path)
+    far = [(F.lit("2200-01-01") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    last = spark.range(1).select(*far)
+    last.limit(0).write.parquet(f"{out}-end")
+    for _ in range(2):
+        stream = read(spark, path).unionByName(read(spark, f"{out}-end", rows.schema))
+        write(build(stream), out, f"{out}-checkpoint")
+        last.coalesce(1).write.mode("append").parquet(f"{out}-end")
+    return spark.read.parquet(out).where("user_id IS NOT NULL")

@@ -1,5 +1,9 @@
 """A stream that is read to its end gives what the batch operators give."""
 
+import datetime
+import itertools
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -46,6 +50,28 @@ def test_label_runs(spark, sf_dir, tmp_path):
     assert sorted((r.user_id, r.label, r.start, r.n) for r in got.collect()) == sorted((r.user_id, r.label, r.start, r.frames) for r in batch.collect())
 
 
+def test_label_runs_out_of_order(spark, tmp_path):
+    """Rows that come in later batches than their neighbours, but not behind the watermark, find their place."""
+    r = random.Random(3)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(hours=i), i % 2, r.choice("xy")) for i in range(200)] + [(900, start + datetime.timedelta(days=9), 7, "x"), (901, start + datetime.timedelta(days=60), 7, "x")]
+    late = sorted(rows, key=lambda x: x[1] + datetime.timedelta(hours=r.uniform(0, 70)))
+    for k in range(0, len(late), 20):
+        spark.createDataFrame(late[k : k + 20], "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.read(spark, str(tmp_path / "in"), files_per_trigger=1)
+    out, end = str(tmp_path / "out"), str(tmp_path / "out-checkpoint")
+    streams.write(streams.label_runs(stream), out, end)
+    got = streams.to_end(spark, str(tmp_path / "in"), streams.label_runs, str(tmp_path / "whole"))
+    want = []
+    for user in (0, 1, 7):
+        for name, group in itertools.groupby(((t, x) for _, t, u, x in rows if u == user), key=lambda x: x[1]):
+            times = [t for t, _ in group]
+            want.append((user, name, times[0], times[-1], len(times)))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    emitted = sorted(map(tuple, spark.read.parquet(out).collect()))
+    assert set(emitted) <= set(want) and len(emitted) > 50  # what is left waits for the watermark
+
+
 def test_upsert_replaces_a_batch(spark, sf_dir, tmp_path):
     source, stream = events(spark, sf_dir, tmp_path)
     streams.upsert(stream, str(tmp_path / "out"), str(tmp_path / "c"))
