@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler
+from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,17 @@ class Compressor:
         for name, (scaler, model, _) in self.models.items():
             scaler.write().overwrite().save(f"{path}/{name}/scaler")
             model.write().overwrite().save(f"{path}/{name}/pca")
+        spark = SparkSession.active()
+        rows = [(name, dim, self.models[name][2] if name in self.models else None) for name, dim in self.dims.items()]
+        spark.createDataFrame(rows, "kind string, dim int, factor double").coalesce(1).write.mode("overwrite").parquet(f"{path}/dims")
+
+    @classmethod
+    def load(cls, path: str) -> Compressor:
+        """What `save` has written: it transforms as the saved one did."""
+        rows = SparkSession.active().read.parquet(f"{path}/dims").collect()
+        made = cls({r.kind: r.dim for r in rows})
+        made.models = {r.kind: (StandardScalerModel.load(f"{path}/{r.kind}/scaler"), PCAModel.load(f"{path}/{r.kind}/pca"), r.factor) for r in rows if r.factor is not None}
+        return made
 
     @staticmethod
     def load_pca(path: str, name: str) -> PCAModel:

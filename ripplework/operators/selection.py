@@ -146,7 +146,8 @@ def batches(ids: DataFrame, key: str, size: int = 32, shuffle: bool = False, see
     """
     sort = [F.xxhash64(key, F.lit(seed)).alias("_s"), F.col(key)] if shuffle else [F.col(key).alias("_s"), F.col(key)]
     keyed = ids.select("*", sort[0])
-    ranged = keyed.repartitionByRange("_s", key).sortWithinPartitions("_s", key).withColumn("_p", F.spark_partition_id())
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that both reads below are dealt alike
+    ranged = keyed.repartitionByRange(parts, "_s", key).sortWithinPartitions("_s", key).withColumn("_p", F.spark_partition_id())
     counts = ranged.groupBy("_p").count()
     starts = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     place = F.row_number().over(Window.partitionBy("_p").orderBy("_s", key)) - 1

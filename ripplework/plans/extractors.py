@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ripplework.functions import scoring
 from ripplework.operators import dsp, joins
 from ripplework.operators.dsp import EPS, Clip
+from ripplework.session import bound_batches
 
 Payload = dict[str, float]
 RESULTS = "video_id string, name string, version string, success boolean, payload map<string,double>, error string, processing_time double"
@@ -116,9 +117,9 @@ def _vector(x: np.ndarray, prefix: str) -> Payload:
     return stats(x, prefix) | {f"{prefix}_dim": float(len(x)), f"{prefix}_norm": float(np.linalg.norm(x)), f"{prefix}_energy": float((x**2).sum()), f"{prefix}_sparsity": float((np.abs(x) < 1e-6).mean()), f"{prefix}_entropy": float(-(p * np.log(p + EPS)).sum())}
 
 
-@extractor("clap_extractor", "A stand-in vector: no trained model is part of this engine")
+@extractor("clap_extractor", "No trained model is part of this engine: a mark alone; see operators.embedding.embed")
 def clap(c: Clip) -> Payload:
-    return _vector(np.random.default_rng(42).normal(0, 0.1, 512), "clap") | {"clap_stub": 1.0}
+    return {"clap_stub": 1.0}
 
 
 @extractor("asr_extractor", "Timing that a transcript would be aligned with: no trained recogniser is part of this engine")
@@ -275,8 +276,7 @@ def voice_quality(c: Clip) -> Payload:
 
     mean_f0 = float(f0[voiced].mean()) if voiced.any() else 0.0
     hnr = dsp.harmonics_to_noise(c.x, c.sr, mean_f0)
-    middle = c.x[max(0, len(c.x) // 2 - 1024) : len(c.x) // 2 + 1024]
-    found = dsp.formants(middle, c.sr) if len(middle) > 64 else [0.0] * 4
+    found = dsp.formants(c.x, c.sr) if len(c.x) > 64 else [0.0] * 4
     jitter, shimmer = local(period), local(level)
     index = (1 - min(100 * jitter, 1) + 1 - min(100 * shimmer, 1) + min(hnr / 20, 1)) / 3
     return {
@@ -444,6 +444,7 @@ def run_one(name: str, clip: Clip) -> tuple[bool, Payload | None, str | None, fl
 def extract(recordings: DataFrame, names: list[str] | None = None, rec: str = "rec_id", sr: int = 22050) -> DataFrame:
     """Results (see RESULTS) of the named extractors, all by default, for recordings (rec, x: array of samples; sr where rows have their own)."""
     wanted = [n for n in (names or list(REGISTRY)) if n in REGISTRY]
+    bound_batches(recordings.sparkSession)
     columns = [rec, "x", *(["sr"] if "sr" in recordings.columns else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,6 +13,7 @@ from ripplework.operators import selection as sel
 from ripplework.operators.embedding import Compressor
 from ripplework.operators.segments import SegmentConfig
 from ripplework.plans import extractors
+from ripplework.session import shared_path
 from ripplework.sources import manifests, tensors
 
 MODES = ("aggregates_only", "segments_only", "both")
@@ -34,16 +35,17 @@ class Output:
 
 
 def frames(recordings: DataFrame, sr: int = 22050, size: int = 2048, hop: int = 512, rec: str = "rec_id") -> DataFrame:
-    """rec, frame, t, x (level) and voiced of each hop of a recording's samples, without a shuffle."""
+    """rec, frame, t, x (level) and voiced of each hop of a recording's samples, without a shuffle; sr where recordings don't have their own."""
+    rate = F.col("sr") if "sr" in recordings.columns else F.lit(sr)
     def levels(x: Column) -> Column:
         part = lambda i: F.slice(x, F.greatest(i * hop - size // 2, F.lit(0)) + 1, F.lit(size))
         last = F.greatest(F.floor(F.size(x) / hop).cast("int") - 1, F.lit(0))
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.sqrt(F.aggregate(part(i), F.lit(0.0), lambda a, v: a + v * v) / size))
 
     level = let(F.col("x"), levels)
-    rows = recordings.select(rec, level.alias("_l")).withColumn("_top", F.array_max("_l"))
-    out = rows.select(rec, "_top", F.posexplode("_l").alias("frame", "x"))
-    return out.select(rec, "frame", (F.col("frame") * hop / F.lit(float(sr))).alias("t"), "x", (F.col("x") > 0.1 * F.col("_top")).alias("voiced"))
+    rows = recordings.select(rec, rate.cast("double").alias("_sr"), level.alias("_l")).withColumn("_top", F.array_max("_l"))
+    out = rows.select(rec, "_sr", "_top", F.posexplode("_l").alias("frame", "x"))
+    return out.select(rec, "frame", (F.col("frame") * hop / F.col("_sr")).alias("t"), "x", (F.col("x") > 0.1 * F.col("_top")).alias("voiced"))
 
 
 def segment_rows(framed: DataFrame, features: DataFrame | None, config: SegmentConfig, rec: str = "rec_id") -> DataFrame:
@@ -72,11 +74,13 @@ def feature_tensors(rows: DataFrame, config: SegmentConfig, embeddings: dict[str
 
 
 def process(recordings: DataFrame, mode: str = "both", config: SegmentConfig | None = None, names: list[str] | None = None, dataset: str = "default", sr: int = 22050) -> Output:
-    """Manifests, segments or both of recordings (rec_id, x). Extractors run once whatever the mode."""
+    """Manifests, segments or both of recordings (rec_id, x; sr where they have their own rates). Extractors run once whatever the mode: their results are written to the shared folder, and what is returned reads them."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     config = config or SegmentConfig()
-    found = extractors.extract(recordings, names, sr=sr)
+    path = shared_path(recordings.sparkSession, "results")
+    extractors.extract(recordings, names, sr=sr).write.parquet(path)
+    found = recordings.sparkSession.read.schema(extractors.RESULTS).parquet(path)
     out = Output(mode)
     if mode != "segments_only":
         out.manifests = manifests.build(found, dataset)

@@ -51,6 +51,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='ripplework-')}"
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset, local mode takes a temporary folder, and a cluster gets an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='ripplework-')}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def bound_batches(spark: SparkSession, most: int = 64 << 20) -> None:
+    """Bound the bytes of recordings that a Python worker is handed at once; a longer one is a batch by itself. A lower bound of the caller's is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > most:
+        spark.conf.set(key, str(most))

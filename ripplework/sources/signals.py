@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplework.functions.binding import let
+from ripplework.operators import dsp
+from ripplework.session import bound_batches
 
 AUDIO_EXTENSIONS = (".wav", ".mp3", ".flac", ".m4a", ".aac", ".ogg", ".wma", ".aiff", ".au")
 VIDEO_EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv", ".wmv", ".flv", ".webm", ".m4v", ".3gp", ".ogv")
@@ -79,32 +81,52 @@ def parse_s3(uri: Column) -> tuple[Column, Column]:
     return F.regexp_extract(uri, "^s3://([^/]+)/?(.*)$", 1), F.regexp_extract(uri, "^s3://([^/]+)/?(.*)$", 2)
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        rows = []
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            try:
-                with wave.open(io.BytesIO(content)) as f:
-                    width, channels, sr = f.getsampwidth(), f.getnchannels(), f.getframerate()
-                    raw = np.frombuffer(f.readframes(f.getnframes()), {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
-                x = ((raw - 128) / 128 if width == 1 else raw / 2.0 ** (8 * width - 1)).reshape(-1, channels)
-                rows.append((path, sr, [c.tolist() for c in x.T], None))
-            except Exception as e:  # noqa: BLE001  one bad file is one failed row
-                rows.append((path, None, None, str(e) or type(e).__name__))
-        yield pd.DataFrame(rows, columns=["path", "sr", "channels", "error"])
+def pcm(raw: bytes, width: int) -> np.ndarray:
+    """Samples of 1 (unsigned), 2, 3 or 4 bytes, little-endian, between -1 and 1."""
+    if width == 1:
+        return (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    if width == 3:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        return wide.reshape(-1).view("<i4") / 2.0**31
+    return np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]) / 2.0 ** (8 * width - 1)
+
+
+def _decode(frame: pd.DataFrame, sr: int | None) -> pd.DataFrame:
+    rows = []
+    for path, content in zip(frame["path"], frame["content"], strict=True):
+        try:
+            with wave.open(io.BytesIO(content)) as f:
+                width, channels, own = f.getsampwidth(), f.getnchannels(), f.getframerate()
+                x = pcm(f.readframes(f.getnframes()), width).reshape(-1, channels)
+            rows.append((path, sr or own, [(dsp.resampled(c, own, sr) if sr else c).tolist() for c in x.T], None))
+        except Exception as e:  # noqa: BLE001  one bad file is one failed row
+            rows.append((path, None, None, str(e) or type(e).__name__))
+    return pd.DataFrame(rows, columns=["path", "sr", "channels", "error"])
+
+
+def read_wav(spark: SparkSession, path: str, sr: int | None = 22050) -> DataFrame:
+    """path, sr, channels (array of arrays) of WAV files, resampled to sr or, where that is None, at their own rates; error says why a file couldn't be read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
+    return decoded(files, sr)
 
 
-def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """path, sr, channels (array of arrays) of WAV files; error says why a file couldn't be read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(_decode, "path string, sr int, channels array<array<double>>, error string")
+def decoded(files: DataFrame, sr: int | None = 22050) -> DataFrame:
+    """The same of files that are rows (path, content)."""
+    bound_batches(files.sparkSession)
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield _decode(frame, sr)
+
+    return files.select("path", "content").mapInPandas(decode, "path string, sr int, channels array<array<double>>, error string")
 
 
 def samples(waves: DataFrame, rec: str = "path") -> DataFrame:
-    """Peak-normalised mono samples in long form: rec_id, frame, t (seconds), x."""
+    """Peak-normalised mono samples in long form: rec_id, sr, frame, t (seconds), x."""
     mono = waves.where("error IS NULL").select(F.col(rec).alias("rec_id"), "sr", to_mono(F.col("channels")).alias("y"))
     scaled = let(F.col("y"), lambda y: let(F.greatest(F.array_max(y), -F.array_min(y), F.lit(1e-8)), lambda peak: F.transform(y, lambda v: v / peak)))
-    return mono.select("rec_id", "sr", F.posexplode(scaled).alias("frame", "x")).select("rec_id", "frame", (F.col("frame") / F.col("sr")).alias("t"), "x")
+    return mono.select("rec_id", "sr", F.posexplode(scaled).alias("frame", "x")).select("rec_id", "sr", "frame", (F.col("frame") / F.col("sr")).alias("t"), "x")
 
 
 def synthetic(spark: SparkSession, kind: str = "sine", freq: float = 440.0, seconds: float = 1.0, sr: int = 22050) -> DataFrame:
@@ -119,7 +141,8 @@ def synthetic(spark: SparkSession, kind: str = "sine", freq: float = 440.0, seco
 
 
 def windows_of_samples(samples_: DataFrame, size: int) -> DataFrame:
-    """Long samples as one array a recording, cut to `size` where it is given."""
-    arrays = samples_.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("frame", "x"))).alias("a"))
+    """Long samples as one array a recording, cut to `size` where it is given; with the rate, where samples have theirs."""
+    rate = [c for c in ("sr",) if c in samples_.columns]
+    arrays = samples_.groupBy("rec_id", *rate).agg(F.array_sort(F.collect_list(F.struct("frame", "x"))).alias("a"))
     x = F.transform("a", lambda s: s["x"])
-    return arrays.select("rec_id", (fit_length(x, size) if size else x).alias("x"))
+    return arrays.select("rec_id", *rate, (fit_length(x, size) if size else x).alias("x"))

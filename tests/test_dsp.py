@@ -87,3 +87,38 @@ def test_an_error_stays_with_its_extractor(spark, monkeypatch):
     assert {(r.video_id, r.name, r.success) for r in got} == {("a", "quality", True), ("a", "tempo", True), ("b", "quality", False), ("b", "tempo", False), ("c", "quality", False), ("c", "tempo", False)}
     assert all(r.error for r in got if not r.success)
     assert len(extractors.REGISTRY) == 22
+
+
+@pytest.mark.parametrize("rate", [8000, 16000, 44100, 48000, 11025])
+def test_resampling_keeps_tones_and_lengths(rate):
+    at = lambda sr: np.sin(2 * np.pi * 440 * np.arange(sr) / sr)
+    got = dsp.resampled(at(rate), rate, 22050)
+    assert len(got) == 22050 and np.abs(got - at(22050))[200:-200].max() < 0.01
+    assert len(dsp.resampled(np.ones(1), rate, 22050)) >= 1 and not len(dsp.resampled(np.zeros(0), rate, 22050))
+
+
+def test_wav_at_any_rate(spark, tmp_path):
+    from ripplework.plans import extractors, pipeline, q_runs
+    from ripplework.sources import signals
+
+    for path, content in q_runs.tones(str(tmp_path), seconds=2.0):
+        open(path, "wb").write(content)
+    for own in (22050, None):
+        waves = signals.windows_of_samples(signals.samples(signals.read_wav(spark, str(tmp_path), own)), 0)
+        found = extractors.extract(waves, ["asr_extractor", "pitch"]).collect()
+        assert all(abs(r.payload["audio_duration"] - 2) < 0.001 for r in found if r.name == "asr_extractor") and len(found) == 10
+        assert all(abs(r.payload["pitch_median"] - 330) < 3 for r in found if r.name == "pitch")
+        ends = pipeline.frames(waves).groupBy("rec_id").agg({"t": "max"}).collect()
+        assert len(ends) == 5 and all(1.9 < r[1] < 2 for r in ends)
+    x = signals.pcm(b"\x00\x00\x40\x00\x00\xc0", 3)
+    assert x.tolist() == [0.5, -0.5]
+
+
+def test_formants_read_the_whole_signal():
+    r = np.random.default_rng(0)
+    x = r.normal(size=6000)
+    y = np.append(x[0], x[1:] - 0.97 * x[:-1]) * np.hamming(len(x))
+    direct = np.correlate(y, y, "full")[len(y) - 1 : len(y) + 24]
+    roots = np.roots(dsp.levinson(direct, 24))
+    want = sorted(f for f in np.angle(roots[np.imag(roots) > 0.01]) * 22050 / (2 * np.pi) if f > 90)[:4]
+    assert np.allclose(dsp.formants(x, 22050), want, rtol=1e-6)
