@@ -249,9 +249,10 @@ def links_between(visitors: list[tuple], own: list[tuple], threshold: float) ->
     for i, (name, group, _) in enumerate(visitors):
         asked = v[at[i] : at[i + 1]]
         lo, hi = np.searchsorted(ranked, asked), np.searchsorted(ranked, asked, "right")
-        # whoever reaches the threshold has all but so many of the shingles, and so one of any more than that: of the rarest here
-        least = np.argsort(hi - lo, kind="stable")[: len(asked) - int(np.ceil(threshold * len(asked) - 1e-9)) + 1]
-        near = np.unique(owner[_ranges(lo[least], hi[least])])
+        # whoever reaches the threshold lacks at most `spare` of the shingles, and so has all but that of any: of the rarest here
+        spare = len(asked) - int(np.ceil(threshold * len(asked) - 1e-9))
+        least = np.argsort(hi - lo, kind="stable")[: spare + 1 + len(asked) // 8]
+        near = np.flatnonzero(np.bincount(owner[_ranges(lo[least], hi[least])], minlength=len(own)) >= len(least) - spare)
         near = near[(roots[near] != root(group)) & (sizes[near] >= threshold * len(asked)) & (len(asked) >= threshold * sizes[near])]
         if not len(near):
             continue
