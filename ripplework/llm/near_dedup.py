@@ -18,7 +18,8 @@ similarity of their shingles; unlike that, it falls when passages change places.
    every pair of texts of different classes is verified, in pieces of bounded size that meet two at a time:
    nothing that shares a bucket is left out, and pairs that links connect already cost nothing. An exact count of
    common shingles, an upper bound of the alignment's, sorts out what can't reach the threshold before it is aligned.
-5. Alignment is limited to the band that the threshold allows (a + b - 2m <= a / 4 there) and runs on bit
+5. Shingles that stand once in both texts and ascend in both are a part of an alignment; where they are too few to
+   reach the threshold, all are aligned. Alignment is limited to the band that the threshold allows (a + b - 2m <= a / 4 there) and runs on bit
    vectors, a machine word of cells at a time.
 
 Links and classes stay distributed: classes are found by passing on the smallest id and jumping pointers, each
@@ -31,6 +32,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,6 +146,7 @@ def aligned_shingles(a: np.ndarray, b: np.ndarray, threshold: float) -> int:
     places: dict[int, list[int]] = {}
     for j, x in enumerate(b.tolist()):
         places.setdefault(x, []).append(j)
+    seen: dict[int, tuple[int, int, int]] = {}
     low, high = 0, min(n, band + 1)
     bits, done = (1 << high) - 1, 0
     for i, x in enumerate(a.tolist()):
@@ -159,10 +162,13 @@ def aligned_shingles(a: np.ndarray, b: np.ndarray, threshold: float) -> int:
         here = places.get(x)
         if not here:
             continue
-        match = 0
-        for j in here:
-            if low <= j < high:
-                match |= 1 << (j - low)
+        match, at, k = seen.get(x, (0, low, 0))  # a shingle's places within the band, as it was when it came last
+        match >>= low - at
+        while k < len(here) and here[k] < high:
+            if here[k] >= low:
+                match |= 1 << (here[k] - low)
+            k += 1
+        seen[x] = match, low, k
         u = bits & match
         if u:
             full = (1 << (high - low)) - 1
@@ -177,12 +183,25 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
         return large == 0
     if small < threshold * large:
         return False
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
+    ua, fa, ca = np.unique(a, return_index=True, return_counts=True)
+    ub, fb, cb = np.unique(b, return_index=True, return_counts=True)
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     most = int(np.minimum(ca[ia], cb[ib]).sum())
     need = lambda m: m >= threshold * (len(a) + len(b) - m) - 1e-9
-    return need(most) and need(aligned_shingles(a, b, threshold))
+    if not need(most):
+        return False
+    once = (ca[ia] == 1) & (cb[ib] == 1)
+    at, to = fa[ia][once], fb[ib][once]
+    return need(_ascending(to[np.argsort(at)].tolist())) or need(aligned_shingles(a, b, threshold))
+
+
+def _ascending(x: list[int]) -> int:
+    """Length of the longest ascending subsequence: for places of shingles that stand once in two texts, a part of their alignment."""
+    tops: list[int] = []
+    for v in x:
+        k = bisect_left(tops, v)
+        tops[k : k + 1] = [v]
+    return len(tops)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
