@@ -128,14 +128,25 @@ def asr(c: Clip) -> Payload:
     return {"asr_stub": 1.0, "audio_duration": c.duration, "speech_seconds": float(v.sum() * 0.03), "words_count": 0.0, "words_per_sec": 0.0}
 
 
-@extractor("pitch", "Pitch by autocorrelation difference over a wide and a vocal range")
+#: Estimators of pitch, the best one first: a recording's own pitch is that of the first one that finds any.
+PITCH_METHODS = ("pyin", "yin", "crepe")
+
+
+@extractor("pitch", "Pitch by three estimators (crepe, a trained one, finds none here), and that of the best that finds any")
 def pitch(c: Clip) -> Payload:
-    wide, vocal = c.f0(50, 2000), c.f0(50, 400)
-    out = stats(wide, "pitch_wide", "mean std min max median p25 p75 p90 count") | stats(vocal, "pitch_vocal", "mean std min max median p25 p75 p90 count")
-    best = wide[np.isfinite(wide)] if np.isfinite(wide).any() else vocal[np.isfinite(vocal)]
+    found = {m: f0[np.isfinite(f0)] for m, f0 in c.pitches.items()} | {"crepe": np.zeros(0)}
+    out: Payload = {}
+    for method in PITCH_METHODS:
+        made = stats(found[method], "f0", "mean std min max median p25 p75 p90 count")
+        out |= {f"{name}_{method}": v for name, v in made.items()}
+    f0, voiced = c.pyin
+    out |= {"voiced_fraction_pyin": float(np.isfinite(f0).mean()) if len(f0) else 0.0, "voiced_probability_mean_pyin": float(voiced.mean()) if len(voiced) else 0.0}
+    used = next((i for i, m in enumerate(PITCH_METHODS) if len(found[m])), -1)
+    best = found[PITCH_METHODS[used]] if used >= 0 else np.zeros(0)
     steps = np.diff(best)
     variation = float(steps.std()) if len(steps) else 0.0
-    return out | stats(best, "pitch", "mean std min max median skewness kurtosis count") | {"pitch_variation": variation, "pitch_stability": 1 / (1 + variation)}
+    out |= stats(best, "f0", "mean std min max median") | stats(best, "pitch", "mean std min max median skewness kurtosis count range")
+    return out | {"f0_method": float(used), "pitch_variation": variation, "pitch_stability": 1 / (1 + variation) if len(steps) else 0.0}
 
 
 @extractor("spectral_extractor", "Descriptors of the spectrum")
@@ -227,16 +238,22 @@ def quality(c: Clip) -> Payload:
     }
 
 
-@extractor("onset", "Onsets: strength, intervals, clusters, and where they fall")
+@extractor("onset", "Onsets by four methods; intervals, clusters and places of those by energy; strength")
 def onset(c: Clip) -> Payload:
-    t, strength = c.times(c.onsets), c.strength[c.onsets] if len(c.onsets) else np.zeros(0)
+    out = stats(c.strength, "onset_strength", "mean std min max median")
+    for method in dsp.ONSET_METHODS:
+        n = len(c.onsets_by(method))
+        out |= {f"onset_count_{method}": float(n), f"onset_density_{method}": n / c.duration}
+    t = c.times(c.onsets_by("energy"))
     clusters = np.split(t, np.flatnonzero(np.diff(t) > 0.5) + 1) if len(t) else []
     sizes = np.array([len(x) for x in clusters])
     thirds = np.histogram(t, 3, (0, c.duration))[0] / (c.duration / 3)
-    p75 = np.percentile(strength, 75) if len(strength) else 0.0
-    return {
-        "onset_count_energy": float(len(t)), "onset_density": len(t) / c.duration, "onset_clusters": float((sizes > 1).sum()), "onset_cluster_score": float((sizes > 2).sum() / max(1, len(t))), "onset_strong_share": float((strength > p75).mean()) if len(strength) else 0.0,
-        "onset_first_third": float(thirds[0]), "onset_second_third": float(thirds[1]), "onset_last_third": float(thirds[2]), "onset_densest_third": float(thirds.argmax()), **stats(strength, "onset_strength", "mean std min max skewness kurtosis p25 p75 p90"), **_gaps(t, "onset_interval"),
+    last = c.onset_curve(dsp.ONSET_METHODS[-1])  # the strength's distribution is that of the last method
+    strong = float((last > np.percentile(last, 75)).mean()) if len(last) else 0.0
+    return out | {
+        "onset_density": len(t) / c.duration, "onset_clusters": float((sizes > 1).sum()), "onset_cluster_score": float((sizes > 2).sum() / max(1, len(t))), "strong_onsets_ratio": strong,
+        "onset_first_third": float(thirds[0]), "onset_second_third": float(thirds[1]), "onset_last_third": float(thirds[2]), "onset_densest_third": float(thirds.argmax()),
+        **stats(last, "onset_strength", "skewness kurtosis p25 p75 p90"), **_gaps(t, "onset_interval"),
     }
 
 

@@ -122,3 +122,36 @@ def test_formants_read_the_whole_signal():
     roots = np.roots(dsp.levinson(direct, 24))
     want = sorted(f for f in np.angle(roots[np.imag(roots) > 0.01]) * 22050 / (2 * np.pi) if f > 90)[:4]
     assert np.allclose(dsp.formants(x, 22050), want, rtol=1e-6)
+
+
+def test_probabilistic_pitch_tells_tone_from_noise():
+    silence, noise = np.zeros(SR), np.random.default_rng(5).standard_normal(SR) * 0.1
+    for freq in (110.0, 440.0, 1500.0):
+        f0, voiced = dsp.pyin(np.concatenate([silence, tone(freq)]), SR, 50, 2000)
+        inner = slice(SR // 512 + 4, -4)
+        assert np.isnan(f0[: SR // 512 - 3]).all() and np.abs(f0[inner] / freq - 1).max() < 0.01 and voiced[inner].min() > 0.9
+    f0, voiced = dsp.pyin(noise, SR, 50, 2000)
+    assert np.isnan(f0).mean() > 0.5 and voiced.mean() < 0.2  # by chance, troughs of some frames in a row are near each other
+    assert np.isnan(dsp.pyin(silence, SR, 50, 2000)[0]).all()
+
+
+def test_the_first_estimator_that_finds_a_pitch_counts():
+    got = extractors.run_one("pitch", dsp.Clip(tone(330.0)))[1]
+    assert got["f0_method"] == 0 and all(abs(got[k] - 330) < 2 for k in ("f0_median", "f0_median_pyin", "f0_median_yin", "pitch_median"))
+    assert got["f0_count_crepe"] == 0 and got["voiced_fraction_pyin"] > 0.9
+    got = extractors.run_one("pitch", dsp.Clip(np.zeros(SR)))[1]
+    assert got["f0_method"] == -1 and got["f0_mean"] == got["pitch_stability"] == 0
+
+
+def test_onsets_by_each_method():
+    # a tone that jumps an octave up each half second; a rise from silence would be 80 dB, beside which a jump's 3 count as none
+    t = np.arange(SR // 2) / SR
+    x = np.concatenate([0.5 * np.sin(2 * np.pi * 300 * 2**k * t) for k in range(4)])
+    clip = dsp.Clip(x)
+    at = clip.times(clip.onsets_by("spectral_rolloff"))
+    assert all(np.abs(at - s).min() < 0.08 for s in (0.5, 1.0, 1.5)), at
+    assert len(dsp.Clip(np.concatenate([np.zeros(SR // 2), x])).onsets_by("spectral_rolloff")) == 1
+    got = extractors.run_one("onset", clip)[1]
+    assert {f"onset_count_{m}" for m in dsp.ONSET_METHODS} <= got.keys() and got["onset_count_spectral_rolloff"] == len(at)
+    silent = extractors.run_one("onset", dsp.Clip(np.zeros(SR)))[1]
+    assert all(silent[f"onset_count_{m}"] == 0 for m in dsp.ONSET_METHODS)
