@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ripplework.functions import scoring
 from ripplework.operators import dsp, joins
 from ripplework.operators.dsp import EPS, Clip
+from ripplework.operators.segments import SegmentConfig
 from ripplework.session import bound_batches
 
 Payload = dict[str, float]
@@ -257,16 +258,23 @@ def onset(c: Clip) -> Payload:
     }
 
 
-@extractor("speaker_diarization", "Turns between pauses, grouped in two by timbre: a stand-in for a trained model")
-def diarization(c: Clip) -> Payload:
+def _turns(c: Clip) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in voice frames, of stretches between pauses, and the side of each by timbre."""
     runs = _runs(_voiced(c))
     if not len(runs):
-        return {"num_speakers": 0.0, "num_turns": 0.0, "speaker_changes": 0.0, "speaker_balance": 0.0}
+        return runs, np.zeros(0, int)
     at = lambda t: min(int(t * 0.03 * c.sr / c.hop), c.mfcc.shape[1] - 1)
     timbre = np.array([c.mfcc[1:, at(a) : at(b) + 1].mean(1) for a, b in runs])
     lead = timbre - timbre.mean(0)
     axis = np.linalg.svd(lead, full_matrices=False)[2][0] if len(runs) > 1 else np.zeros(12)
-    side = (lead @ axis > 0).astype(int)
+    return runs, (lead @ axis > 0).astype(int)
+
+
+@extractor("speaker_diarization", "Turns between pauses, grouped in two by timbre: a stand-in for a trained model")
+def diarization(c: Clip) -> Payload:
+    runs, side = _turns(c)
+    if not len(runs):
+        return {"num_speakers": 0.0, "num_turns": 0.0, "speaker_changes": 0.0, "speaker_balance": 0.0}
     seconds = np.bincount(side, np.diff(runs, axis=1).ravel() * 0.03, 2)
     p = seconds[seconds > 0] / seconds.sum()
     balance = float(-(p * np.log2(p)).sum() / np.log2(len(p))) if len(p) > 1 else 1.0
@@ -336,14 +344,22 @@ def emotion(c: Clip) -> Payload:
     return share | {"emotion_dominant": float(np.argmax(list(score.values()))), "emotion_dom_conf": max(share.values()), "emotion_valence": valence, "emotion_arousal": arousal}
 
 
-@extractor("phoneme_analysis", "Stretches of silence, fricatives, vowels and consonants by level and zero crossings")
-def phonemes(c: Clip) -> Payload:
+SOUNDS = ("silence", "fricative", "vowel", "consonant")
+
+
+def _sounds(c: Clip) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Level, zero crossings and kind (of SOUNDS) of each frame, and where the kind changes, both ends included."""
     n = min(len(c.rms), len(c.zcr))
     rms, zcr = c.rms[:n], c.zcr[:n]
     label = np.where(rms < 0.1 * max(rms.max(), EPS), 0, np.where(zcr > 0.3, 1, np.where(zcr < 0.1, 2, 3)))
-    cuts = np.flatnonzero(np.diff(label)) + 1
-    lengths = np.diff(np.concatenate([[0], cuts, [n]])) * c.hop / c.sr
-    kinds = label[np.concatenate([[0], cuts]).astype(int)]
+    return rms, zcr, label, np.concatenate([[0], np.flatnonzero(np.diff(label)) + 1, [n]]).astype(int)
+
+
+@extractor("phoneme_analysis", "Stretches of silence, fricatives, vowels and consonants by level and zero crossings")
+def phonemes(c: Clip) -> Payload:
+    rms, zcr, label, cuts = _sounds(c)
+    lengths = np.diff(cuts) * c.hop / c.sr
+    kinds = label[cuts[:-1]]
     kept = (lengths > 0.01) & (kinds > 0)
     var = lambda x: float(x.std() / (x.mean() + EPS))
     return {"phoneme_count": float(kept.sum()), "phoneme_rate": float(kept.sum() / c.duration), **stats(lengths[kept], "phoneme_seconds"), "vowel_share": float((label == 2).mean()), "fricative_share": float((label == 1).mean()), "energy_variability": var(rms), "energy_stability": 1 / (1 + var(rms)), "zcr_variability": var(zcr), "zcr_stability": 1 / (1 + var(zcr))}
@@ -360,16 +376,23 @@ def advanced(c: Clip) -> Payload:
     return out
 
 
+def _match(x: np.ndarray, templates: list) -> tuple[int, float]:
+    """The template that correlates best, and how much."""
+    t = np.array([row for _, _, row in templates])
+    a, b = x - x.mean(), t - t.mean(1, keepdims=True)
+    r = b @ a / (np.linalg.norm(b, axis=1) * np.linalg.norm(a) + EPS)
+    return int(r.argmax()), float(r.max())
+
+
+def _chords(c: Clip) -> np.ndarray:
+    templates = joins.chord_templates()
+    return np.array([_match(f, templates)[0] for f in c.chroma.T])
+
+
 @extractor("music_analysis", "Key, chords, danceability, energy and complexity")
 def music(c: Clip) -> Payload:
-    def match(x: np.ndarray, templates: list) -> tuple[int, float]:
-        t = np.array([row for _, _, row in templates])
-        a, b = x - x.mean(), t - t.mean(1, keepdims=True)
-        r = b @ a / (np.linalg.norm(b, axis=1) * np.linalg.norm(a) + EPS)
-        return int(r.argmax()), float(r.max())
-
-    key, sure = match(c.chroma.mean(1), joins.key_templates())
-    chords = np.array([match(f, joins.chord_templates())[0] for f in c.chroma.T])
+    key, sure = _match(c.chroma.mean(1), joins.key_templates())
+    chords = _chords(c)
     gaps = np.diff(c.times(c.beat_frames))
     regular = 1 / (1 + gaps.std() / gaps.mean()) if len(gaps) and gaps.mean() > 0 else 0.0
     rhythm = 0.7 * regular + 0.3 * min(len(c.beat_frames) / c.duration / 2, 1) if len(c.beat_frames) >= 2 else 0.0
@@ -405,8 +428,8 @@ def sources(c: Clip) -> Payload:
     return {"vocal_fraction": vocal, "harmonic_ratio": harmonic, "percussive_ratio": percussive, "low_share": float(low), "mid_share": float(mid), "high_share": float(high), **{f"instrument_{k}": float(v / sum_) for k, v in parts.items()}}
 
 
-@extractor("sound_event_detection", "Loud moments, their kinds, and the acoustic scene")
-def events(c: Clip) -> Payload:
+def _moments(c: Clip) -> tuple[np.ndarray, list[int]]:
+    """Frames of loud moments, and the kind of each (-1: unknown)."""
     rms = c.rms
     found = dsp.pick_peaks(np.where(rms > rms.mean() + 2 * rms.std(), rms, 0), above=0.0, wait=5)
     v = _acoustics(c)
@@ -416,6 +439,13 @@ def events(c: Clip) -> Payload:
         score = {k: _points(r, own) for k, r in scoring.EVENTS.items()}
         best = max(score, key=score.get)
         kinds.append(list(scoring.EVENTS).index(best) if score[best] > 0.3 else -1)
+    return found, kinds
+
+
+@extractor("sound_event_detection", "Loud moments, their kinds, and the acoustic scene")
+def events(c: Clip) -> Payload:
+    found, kinds = _moments(c)
+    v = _acoustics(c)
     scene = {k: _points(r, v) for k, r in scoring.SCENES.items()}
     total = sum(scene.values()) or 1.0
     counts = {f"event_{k}": float(kinds.count(i)) for i, k in enumerate(scoring.EVENTS)}
@@ -479,3 +509,101 @@ def extract(recordings: DataFrame, names: list[str] | None = None, rec: str = "r
                 yield pd.DataFrame(out, columns=[x.split()[0] for x in RESULTS.split(", ")])
 
     return recordings.select(*columns).mapInPandas(run, RESULTS)
+
+
+#: Rows of a series: starts, ends (of a moment, its start), values, labels.
+Series = tuple[np.ndarray, np.ndarray, np.ndarray, list[str | None]]
+TIMES = "video_id string, name string, series string, i int, start double, end double, value double, label string, error string"
+
+
+def _curve(c: Clip, x: np.ndarray, kept: np.ndarray | None = None) -> Series:
+    """A value for each hop, or for those kept."""
+    at = np.arange(len(x)) if kept is None else np.flatnonzero(kept)
+    return c.times(at), c.times(at + 1), x[at], [None] * len(at)
+
+
+def _marks(c: Clip, frames: np.ndarray, values: np.ndarray, labels: list[str] | None = None) -> Series:
+    return c.times(frames), c.times(frames), values[frames] if len(frames) else np.zeros(0), labels or [None] * len(frames)
+
+
+def _spans(bounds: np.ndarray, unit: float, labels: list[str]) -> Series:
+    return bounds[:, 0] * unit, bounds[:, 1] * unit, (bounds[:, 1] - bounds[:, 0]) * unit, labels
+
+
+def _labelled(c: Clip, kinds: np.ndarray, name: Callable[[int], str]) -> Series:
+    """Stretches of frames of one kind."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(kinds)) + 1, [len(kinds)]]).astype(int)
+    return _spans(np.stack([cuts[:-1], cuts[1:]], 1), c.hop / c.sr, [name(int(kinds[a])) for a in cuts[:-1]])
+
+
+def _chord_name(i: int) -> str:
+    return joins.chord_templates()[i][1]
+
+
+#: What extractors can tell over time: name -> the series of a recording.
+TIMELINES: dict[str, Callable[[Clip], dict[str, Series]]] = {
+    "loudness_extractor": lambda c: {"rms": _curve(c, c.rms)},
+    "vad_extractor": lambda c: {"speech": _spans(r := _runs(_voiced(c)), 0.03, ["speech"] * len(r)), "f0": _curve(c, f := c.f0(), np.isfinite(f))},
+    "pitch": lambda c: {f"f0_{m}": _curve(c, f, np.isfinite(f)) for m, f in c.pitches.items()},
+    "spectral_extractor": lambda c: {n: _curve(c, getattr(c, n)) for n in ("centroid", "bandwidth", "rolloff", "flatness", "zcr")},
+    "tempo": lambda c: {"beats": _marks(c, c.beat_frames, c.strength), "onsets": _marks(c, c.onsets, c.strength)},
+    "onset": lambda c: {f"onset_{m}": _marks(c, c.onsets_by(m), c.onset_curve(m)) for m in dsp.ONSET_METHODS},
+    "speaker_diarization": lambda c: {"turns": _spans((t := _turns(c))[0], 0.03, [f"speaker_{s}" for s in t[1]])},
+    "phoneme_analysis": lambda c: {"sounds": _labelled(c, _sounds(c)[2], SOUNDS.__getitem__)},
+    "music_analysis": lambda c: {"chords": _labelled(c, _chords(c), _chord_name)},
+    "sound_event_detection": lambda c: {"events": _marks(c, (m := _moments(c))[0], c.rms, [list(scoring.EVENTS)[k] if k >= 0 else "unknown" for k in m[1]])},
+}
+
+
+def timelines(recordings: DataFrame, names: list[str] | None = None, rec: str = "rec_id", sr: int = 22050) -> DataFrame:
+    """Rows (see TIMES) of the series of the named extractors, all that have any by default, for recordings as in `extract`.
+
+    Curves, moments and labelled stretches are rows of one kind, so segments take them by time (`segments.assign` on
+    start). What fails gives a row with its error and no series. Narrow: one pass, no shuffle.
+    """
+    wanted = [n for n in (names or list(TIMELINES)) if n in TIMELINES]
+    bound_batches(recordings.sparkSession)
+    columns = [rec, "x", *(["sr"] if "sr" in recordings.columns else [])]
+    fields = [x.split()[0] for x in TIMES.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for row in frame.itertuples(index=False):
+                clip = None
+                for n in wanted:
+                    try:
+                        clip = clip or Clip(np.asarray(row.x, np.float64), int(getattr(row, "sr", sr)))
+                        made = TIMELINES[n](clip)
+                    except Exception as e:  # noqa: BLE001
+                        yield pd.DataFrame([(str(row[0]), n, None, None, None, None, None, None, str(e) or type(e).__name__)], columns=fields)
+                        continue
+                    for series, (starts, ends, values, labels) in made.items():
+                        text = lambda x, size=len(starts): pd.Series(x if isinstance(x, list) else [x] * size, dtype=object)
+                        some = {"i": np.arange(len(starts)), "start": starts, "end": ends, "value": np.asarray(values, np.float64)}
+                        some |= {"video_id": text(str(row[0])), "name": text(n), "series": text(series), "label": text(labels), "error": text(None)}
+                        yield pd.DataFrame(some, columns=fields)
+
+    return recordings.select(*columns).mapInPandas(run, TIMES)
+
+
+def segment_spectra(recordings: DataFrame, config: SegmentConfig, rec: str = "rec_id", sr: int = 22050) -> DataFrame:
+    """rec, segment_index, mel and mfcc: means over the frames that begin in each segment; recordings without samples, or that fail, have none."""
+    bound_batches(recordings.sparkSession)
+    columns = [rec, "x", *(["sr"] if "sr" in recordings.columns else [])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for row in frame.itertuples(index=False):
+                if row.x is None or not len(row.x):
+                    continue
+                clip = Clip(np.asarray(row.x, np.float64), int(getattr(row, "sr", sr)))
+                mel, mfcc = dsp.to_db(clip.mel(config.n_mels)), dsp.dct2(dsp.to_db(clip.mel(128)), config.n_mfcc)
+                t, out = clip.times(np.arange(mel.shape[1])), []
+                for k in range(int(clip.duration / config.hop) + 1):
+                    a, b = np.searchsorted(t, [k * config.hop, k * config.hop + config.segment_len])
+                    if a < b:
+                        out.append((row[0], k, mel[:, a:b].mean(1), mfcc[:, a:b].mean(1)))
+                yield pd.DataFrame(out, columns=[rec, "segment_index", "mel", "mfcc"])
+
+    kind = recordings.schema[rec].dataType.simpleString()
+    return recordings.select(*columns).mapInPandas(run, f"{rec} {kind}, segment_index long, mel array<double>, mfcc array<double>")

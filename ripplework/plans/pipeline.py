@@ -32,6 +32,7 @@ class Output:
     manifests: DataFrame | None = None
     segments: DataFrame | None = None
     tensors: DataFrame | None = None
+    compressor: Compressor | None = None
 
 
 def frames(recordings: DataFrame, sr: int = 22050, size: int = 2048, hop: int = 512, rec: str = "rec_id") -> DataFrame:
@@ -60,12 +61,13 @@ def segment_rows(framed: DataFrame, features: DataFrame | None, config: SegmentC
     return rows.withColumn("asr_conf_mean", F.when(F.col("asr_conf_mean") >= config.asr_confidence, F.col("asr_conf_mean")))
 
 
-def feature_tensors(rows: DataFrame, config: SegmentConfig, embeddings: dict[str, str] | None = None, rec: str = "rec_id", strategy: str = "boundary_importance") -> DataFrame:
-    """Selected segments as tensors of max_seq_len rows. embeddings: kind -> column of compressed vectors."""
+def feature_tensors(rows: DataFrame, config: SegmentConfig, embeddings: dict[str, str] | None = None, rec: str = "rec_id", strategy: str = "boundary_importance", spectra: tuple[str, ...] = ()) -> DataFrame:
+    """Selected segments as tensors of max_seq_len rows. embeddings: kind -> column of compressed vectors; spectra: columns of mel and cepstrum means."""
     kept = sel.select(rows, strategy, config.max_seq_len, config.k_start, config.k_end, rec=rec)
     given = embeddings or {}
-    width = sel.feature_width({k: config.pca_dims[k] for k in given}, 0, 0)
-    flat = sel.flatten([F.col(c) for c in sel.SCALARS], [F.col(c) for c in given.values()], [], width)
+    mels = (config.n_mels, config.n_mfcc) if spectra else (0, 0)
+    width = sel.feature_width({k: config.pca_dims[k] for k in given}, *mels)
+    flat = sel.flatten([F.col(c) for c in sel.SCALARS], [F.col(c) for c in given.values()], [F.col(c) for c in spectra], width)
     placed = sel.ranked(kept, rec).where(F.col("_i") < config.max_seq_len).select(rec, F.col("_i").cast("long").alias("pos"), flat.alias("features"), F.lit(1).alias("mask"))
     grid = kept.select(rec).distinct().select(rec, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.max_seq_len - 1).cast("long"))).alias("pos"))
     zero = F.array_repeat(F.lit(0.0).cast("float"), width)
@@ -73,8 +75,15 @@ def feature_tensors(rows: DataFrame, config: SegmentConfig, embeddings: dict[str
     return tensors.assemble(full, rec)
 
 
-def process(recordings: DataFrame, mode: str = "both", config: SegmentConfig | None = None, names: list[str] | None = None, dataset: str = "default", sr: int = 22050) -> Output:
-    """Manifests, segments or both of recordings (rec_id, x; sr where they have their own rates). Extractors run once whatever the mode: their results are written to the shared folder, and what is returned reads them."""
+def process(
+    recordings: DataFrame, mode: str = "both", config: SegmentConfig | None = None, names: list[str] | None = None, dataset: str = "default", sr: int = 22050, vectors: DataFrame | None = None
+) -> Output:
+    """Manifests, segments or both of recordings (rec_id, x; sr where they have their own rates).
+
+    Extractors run once whatever the mode: their results are written to the shared folder, and what is returned reads
+    them. With vectors (rec_id, segment_index, kind, embedding), compressed to config.pca_dims, and with its means of
+    mel and cepstrum, a segment's row is the full one (416 wide by default); without, it has the scalars alone.
+    """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     config = config or SegmentConfig()
@@ -86,9 +95,17 @@ def process(recordings: DataFrame, mode: str = "both", config: SegmentConfig | N
         out.manifests = manifests.build(found, dataset)
     if mode != "aggregates_only":
         features = manifests.features(found, RECORDING_FEATURES).withColumnRenamed("video_id", "rec_id")
-        framed = frames(recordings.withColumn("rec_id", F.col("rec_id").cast("string")), sr)
-        out.segments = segment_rows(framed, features, config)
-        out.tensors = feature_tensors(out.segments, config)
+        named = recordings.withColumn("rec_id", F.col("rec_id").cast("string"))
+        out.segments = segment_rows(frames(named, sr), features, config)
+        if vectors is None:
+            out.tensors = feature_tensors(out.segments, config)
+        else:
+            made, out.compressor = compress(vectors.withColumn("rec_id", F.col("rec_id").cast("string")), config)
+            columns = {k: f"{k}_pca" for k in config.pca_dims}
+            key = ["rec_id", "segment_index"]
+            wide = made.groupBy(*key).agg(*[F.max(F.when(F.col("kind") == k, F.col("pca"))).alias(c) for k, c in columns.items()])
+            out.segments = out.segments.join(wide, key, "left").join(extractors.segment_spectra(named, config, sr=sr), key, "left")
+            out.tensors = feature_tensors(out.segments, config, columns, spectra=("mel", "mfcc"))
     return out
 
 

@@ -70,7 +70,8 @@ def test_wav_source(spark, tmp_path):
     waves = signals.read_wav(spark, str(tmp_path))
     got = {r.path.rsplit("/", 1)[1]: r for r in waves.collect()}
     assert got["bad.wav"].error and len(got["s.wav"].channels) == 2
-    rows = signals.samples(waves)
+    assert signals.samples(waves).count() == 60_000 * 22050 // SR  # converted to the usual rate
+    rows = signals.samples(signals.read_wav(spark, str(tmp_path), None))  # at the file's own
     assert rows.count() == 60_000 and rows.agg(F.max(F.abs("x")).alias("m")).first().m == pytest.approx(1.0)
     files = spark.createDataFrame([("a.WAV", 3), ("a.txt", 3), ("b.mp3", 0)], "path string, length long")
     assert [r.ok for r in files.select(signals.valid_media(F.col("path"), F.col("length")).alias("ok")).collect()] == [True, False, False]
@@ -101,3 +102,44 @@ def test_embedding_models_and_components(spark, sf_dir, tmp_path):
     assert np.allclose(got.var(0, ddof=1), values, rtol=1e-6)
     model.save(str(tmp_path / "models"))
     assert embedding.Compressor.load_pca(str(tmp_path / "models"), "clap").getK() == 4
+
+
+def test_the_full_row(spark):
+    sr, t = 8000, np.arange(8 * SR) / SR
+    waves = spark.createDataFrame([(1, (0.5 * np.sin(2 * np.pi * 220 * t)).tolist()), (2, (0.3 * np.sin(2 * np.pi * 440 * t)).tolist())], "rec_id long, x array<double>")
+    config = SegmentConfig(segment_len=2.0, hop=1.0, max_seq_len=5, k_start=2, k_end=2)
+    r = np.random.default_rng(0)
+    rows = [(rec, k, kind, r.normal(size=dim).tolist()) for rec in (1, 2) for k in range(8) for kind, dim in (("clap", 160), ("wav2vec", 80), ("yamnet", 130))]
+    vectors = spark.createDataFrame(rows, "rec_id long, segment_index long, kind string, embedding array<double>")
+    out = pipeline.process(waves, "segments_only", config, ["tempo"], sr=sr, vectors=vectors)
+    got = {x.rec_id: x for x in out.tensors.collect()}
+    assert set(got) == {"1", "2"} and all(len(x.features) == 5 and {len(f) for f in x.features} == {416} for x in got.values())
+    segments = {(x.rec_id, x.segment_index): x for x in out.segments.collect()}
+    made = {(str(x.rec_id), x.segment_index): x.pca for x in out.compressor.transform(vectors).where("kind = 'wav2vec'").collect()}
+    first = got["1"].features[0]
+    assert np.allclose(first[19 + 128 : 19 + 192], made["1", 0], atol=1e-4)
+    assert np.allclose(first[-77:], [*segments["1", 0].mel, *segments["1", 0].mfcc], atol=1e-3)
+    assert len({tuple(segments["1", k].mel) for k in range(3)}) > 1
+
+
+def test_timelines(spark):
+    from ripplework.plans import extractors
+
+    t = np.arange(SR) / SR
+    x = np.concatenate([np.zeros(SR), 0.5 * np.sin(2 * np.pi * 300 * t), np.zeros(SR)])
+    rows = spark.createDataFrame([("a", x.tolist()), ("b", []), ("c", None)], "rec_id string, x array<double>")
+    got = extractors.timelines(rows, sr=SR).collect()
+    assert {r.name for r in got if r.video_id == "a"} == set(extractors.TIMELINES) - {"sound_event_detection"} and not any(r.error for r in got if r.video_id == "a")
+    burst = np.concatenate([0.01 * x, np.sin(2 * np.pi * 300 * t[:2000]), np.zeros(SR)])
+    starts, _, _, labels = extractors.TIMELINES["sound_event_detection"](extractors.Clip(burst, SR))["events"]
+    assert len(starts) and abs(starts[0] - 3) < 0.3 and len(labels) == len(starts)
+    assert all(r.error and r.series is None for r in got if r.video_id != "a") and len([r for r in got if r.video_id == "b"]) == len(extractors.TIMELINES)
+    one = lambda series: sorted((r for r in got if r.series == series), key=lambda r: r.i)
+    speech = one("speech")
+    assert len(speech) == 1 and abs(speech[0].start - 1) < 0.05 and abs(speech[0].end - 2) < 0.05 and speech[0].label == "speech"
+    assert [r.label for r in one("sounds")][0] == "silence" and {"vowel"} <= {r.label for r in one("sounds")}
+    sounds = one("sounds")
+    assert all(a.end == b.start for a, b in zip(sounds, sounds[1:], strict=False))
+    assert all(abs(r.value - 300) < 5 for r in one("f0_pyin")[5:-5]) and len(one("turns")) == 1
+    assert abs(one("onset_energy")[0].start - 1) < 0.15 and one("rms")[0].value == 0
+    assert all(r.label and r.value > 0 for r in one("chords"))
