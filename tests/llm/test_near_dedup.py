@@ -1,5 +1,9 @@
 import itertools
+import math
+import os
 import random
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -119,3 +123,41 @@ def test_real_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()}
     assert got == {d: c for (d, _), c in zip(rows, brute(rows), strict=True)}
+
+
+def test_classes_of_a_whole_table_against_all_pairs(spark, sf_dir):
+    """Every pair that can reach 0.8 meets by an exact prefix filter, without sketches, and is aligned in the full table."""
+    path = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01")
+    docs = spark.read.parquet(f"{path if os.path.exists(path) else sf_dir}/documents.parquet")
+    ids = defaultdict(list)
+    for row in docs.select("doc_id", "text").collect():
+        ids[tuple(re.findall(r"[^\x20\x09-\x0D]+", row.text or ""))].append(row.doc_id)
+    texts = sorted(ids, key=len)
+    runs = [[w[i : i + 5] for i in range(max(1, len(w) - 4))] if w else [] for w in texts]
+    often = Counter(x for r in runs for x in set(r))
+    parent, index = list(range(len(texts))), defaultdict(list)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, own in enumerate(runs):
+        seen, labelled = Counter(), []
+        for x in own:
+            labelled.append((often[x], x, seen[x]))
+            seen[x] += 1
+        met = set()
+        for _, x, k in sorted(labelled)[: len(own) - math.ceil(0.8 * len(own) - 1e-9) + 1]:
+            met.update(index[x, k])
+            index[x, k].append(i)
+        for j in met:
+            reaches = lambda m, n=len(own) + len(runs[j]): m >= 0.8 * (n - m) - 1e-9
+            if reaches((seen & Counter(runs[j])).total()) and reaches(longest(own, runs[j])):
+                parent[root(i)] = root(j)
+    classes = defaultdict(list)
+    for i, w in enumerate(texts):
+        classes[root(i)] += ids[w]
+    want = {d: min(c) for c in classes.values() for d in c}
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()}
+    assert got == want and len(set(parent)) < len(texts)
