@@ -134,8 +134,8 @@ def queue(df: DataFrame, priority: str, at: str) -> DataFrame:
 
 
 def evicted(df: DataFrame, size: str, last_used: str, capacity: float, group: str) -> DataFrame:
-    """evicted: whether a cache of `capacity` drops the row, the least recently used first."""
-    w = Window.partitionBy(group).orderBy(F.desc(last_used)).rowsBetween(Window.unboundedPreceding, 0)
+    """evicted: whether a cache of `capacity` drops the row, the least recently used first. Rows used at the same time stay or go together."""
+    w = Window.partitionBy(group).orderBy(F.desc(last_used)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("evicted", F.sum(size).over(w) > capacity)
 
 

@@ -43,3 +43,24 @@ def test_query(spark, sf_dir, con, name):
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture
+def query_and_sql(spark, tmp_path):
+    """Rows of a query and of its SQL over a table of events."""
+
+    def run(name, events, stored=None):
+        """events: a DuckDB query; stored: the same rows as Spark is to find them."""
+        folder = tmp_path / name
+        folder.mkdir()
+        connection = duckdb.connect(config={"threads": 1})
+        connection.execute(f"COPY ({stored or events}) TO '{folder}/events.parquet' (FORMAT parquet)")
+        connection.execute(f"CREATE TABLE events AS {events}")
+        return rows(catalog.QUERIES[name](spark, str(folder)).toPandas()), rows(connection.execute(catalog.ORACLES[name]).df())
+
+    return run
+
+
+def test_eviction_of_rows_used_at_one_time(sf_dir, query_and_sql):
+    got, want = query_and_sql("lru_eviction", f"SELECT * REPLACE (event_id // 2 AS event_id) FROM read_parquet('{sf_dir}/events.parquet'), range(3)")
+    assert got == want

@@ -87,6 +87,13 @@ def test_padding_and_flattening(spark):
     assert sel.feature_width({"clap": 128, "wav2vec": 64, "yamnet": 128}) == 416
 
 
+def test_eviction(spark):
+    df = spark.createDataFrame([(1, 9, 400.0), (1, 7, 400.0), (1, 7, 400.0), (1, 7, None), (1, 5, 1.0), (2, 9, 1000.0), (2, 8, 0.5), (3, 1, None), (3, None, 1001.0)], "user long, used long, size double")
+    got = [(r.user, r.used, r.evicted) for r in sel.evicted(df, "size", "used", 1000.0, "user").collect()]
+    # the three rows of time 7 go together, whatever order they are read in
+    assert sorted(got, key=str) == sorted([(1, 9, False), (1, 7, True), (1, 7, True), (1, 7, True), (1, 5, True), (2, 9, False), (2, 8, True), (3, 1, None), (3, None, True)], key=str)
+
+
 def frame(spark, values, kind="double"):
     values = [float(v) if kind == "double" and v is not None else v for v in values]
     return spark.createDataFrame([(1, i, v, float(i)) for i, v in enumerate(values)], f"rec_id long, frame long, v {kind}, t double")
