@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplework.functions import scoring as sc
@@ -16,10 +16,12 @@ _FEATURES = """feats AS (SELECT rec_id, avg(x) * 4 AS pitch_mean, stddev_pop(x)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("x")
-    return signals.events_signal(spark, sf_dir).groupBy("rec_id").agg(
-        (F.avg(x) * 4).alias("pitch_mean"), F.stddev_pop(x).alias("pitch_std"), (F.avg(x) / 500).alias("energy_mean"), (F.stddev_pop(x) / 1000).alias("energy_std"), (F.count("*") * 1.5).alias("tempo"),
-        (F.count_if(F.col("event_type") == "error") / F.count("*")).alias("zcr_mean"), (F.count_if("voiced") / F.count("*")).alias("pitch_present"), (F.stddev_pop(x) * 25).alias("centroid_std"), (F.avg(x) * 40).alias("centroid"),
+    """Sums run in order of frames. In an order left to chance, a mean that is on a rule's threshold would fall on either side of it."""
+    x, so_far = F.col("x"), Window.partitionBy("rec_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    mean = F.max_by("total", "frame") / F.count(x)
+    return signals.events_signal(spark, sf_dir).withColumn("total", F.sum(x).over(so_far)).groupBy("rec_id").agg(
+        (mean * 4).alias("pitch_mean"), F.stddev_pop(x).alias("pitch_std"), (mean / 500).alias("energy_mean"), (F.stddev_pop(x) / 1000).alias("energy_std"), (F.count("*") * 1.5).alias("tempo"),
+        (F.count_if(F.col("event_type") == "error") / F.count("*")).alias("zcr_mean"), (F.count_if("voiced") / F.count("*")).alias("pitch_present"), (F.stddev_pop(x) * 25).alias("centroid_std"), (mean * 40).alias("centroid"),
     )
 
 

@@ -64,3 +64,12 @@ def query_and_sql(spark, tmp_path):
 def test_eviction_of_rows_used_at_one_time(sf_dir, query_and_sql):
     got, want = query_and_sql("lru_eviction", f"SELECT * REPLACE (event_id // 2 AS event_id) FROM read_parquet('{sf_dir}/events.parquet'), range(3)")
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["scene_scores", "event_scores", "emotion_rules"])
+def test_means_on_a_threshold(query_and_sql, name):
+    """100 users whose values have a mean of 50, which divided by 500 is the rules' 0.1; sums in double precision miss it or not, by their order."""
+    cents = "SELECT u, i, CASE WHEN i < 39 THEN c ELSE 200000 - sum(c) FILTER (i < 39) OVER (PARTITION BY u) END AS c FROM (SELECT u, i, CAST(hash(u * 40 + i) % 10000 AS BIGINT) AS c FROM range(100) AS a(u), range(40) AS b(i))"
+    events = f"SELECT u * 40 + i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i) HOUR AS ts, u AS user_id, CASE WHEN i % 4 = 0 THEN 'error' WHEN i % 4 = 1 THEN 'view' ELSE 'signup' END AS event_type, c / 100e0 AS value, '{{}}' AS props FROM ({cents}) ORDER BY event_id"
+    got, want = query_and_sql(name, events, f"SELECT * FROM ({events}) ORDER BY hash(event_id)")
+    assert got == want
