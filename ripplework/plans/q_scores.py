@@ -16,12 +16,16 @@ _FEATURES = """feats AS (SELECT rec_id, avg(x) * 4 AS pitch_mean, stddev_pop(x)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums run in order of frames. In an order left to chance, a mean that is on a rule's threshold would fall on either side of it."""
-    x, so_far = F.col("x"), Window.partitionBy("rec_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    mean = F.max_by("total", "frame") / F.count(x)
-    return signals.events_signal(spark, sf_dir).withColumn("total", F.sum(x).over(so_far)).groupBy("rec_id").agg(
+    """Sums run in order of frames. In an order left to chance, a mean that is on a rule's threshold would fall on either side of it.
+
+    Straight from the events: frames and sums then share one shuffle and sort.
+    """
+    x, so_far = F.col("value"), Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    events = signals.table(spark, sf_dir, "events").withColumns({"total": F.sum(x).over(so_far), "frame": F.row_number().over(so_far)})
+    mean, voiced = F.max_by("total", "frame") / F.count(x), F.col("event_type").isin(*signals.VOICED_TYPES)
+    return events.groupBy(F.col("user_id").alias("rec_id")).agg(
         (mean * 4).alias("pitch_mean"), F.stddev_pop(x).alias("pitch_std"), (mean / 500).alias("energy_mean"), (F.stddev_pop(x) / 1000).alias("energy_std"), (F.count("*") * 1.5).alias("tempo"),
-        (F.count_if(F.col("event_type") == "error") / F.count("*")).alias("zcr_mean"), (F.count_if("voiced") / F.count("*")).alias("pitch_present"), (F.stddev_pop(x) * 25).alias("centroid_std"), (mean * 40).alias("centroid"),
+        (F.count_if(F.col("event_type") == "error") / F.count("*")).alias("zcr_mean"), (F.count_if(voiced) / F.count("*")).alias("pitch_present"), (F.stddev_pop(x) * 25).alias("centroid_std"), (mean * 40).alias("centroid"),
     )
 
 
